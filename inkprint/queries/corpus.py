@@ -94,14 +94,20 @@ def char_counts_sql(name: str, source: str, sizes, text: str = "text", collapse:
 
 def word_counts_sql(name: str, source: str, low: int, high: int, pattern: str = WORDPUNCT_SQL,
                     text: str = "text", keys: str = "problem, doc_name") -> str:
-    values = ", ".join(f"({n})" for n in range(low, high + 1))
+    following = ", ".join(
+        f"lead(tok, {i}) OVER (PARTITION BY {keys} ORDER BY i) AS t{i}" for i in range(1, high)
+    )
+    grams = ["tok"]
+    for i in range(1, high):
+        grams.append(f"{grams[-1]} || ' ' || t{i}")
+    listed = ", ".join(grams[low - 1:high])
     return f"""{name} AS (
-  SELECT {keys}, array_to_string(toks[p:p + n - 1], ' ') AS term, count(*) AS tf
-  FROM (SELECT {keys}, toks, unnest(range(1, 1 + len(toks))) AS p
-        FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS toks FROM {source})),
-       (VALUES {values}) AS sizes(n)
-  WHERE p + n - 1 <= len(toks)
-  GROUP BY ALL)"""
+  SELECT {keys}, term, count(*) AS tf
+  FROM (SELECT {keys}, unnest([{listed}]) AS term
+        FROM (SELECT {keys}, tok{", " + following if following else ""}
+              FROM (SELECT {keys}, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
+                    FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS toks FROM {source}))))
+  WHERE term IS NOT NULL GROUP BY ALL)"""
 
 
 def idf_sql(name: str, counts: str, source: str, min_df: float, n_docs: str = "count(*)") -> str:

@@ -41,3 +41,26 @@ TAGS_SQL = (
   SELECT problem, doc_name, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos
   FROM (SELECT problem, doc_name, regexp_extract_all(text, '{WORDPUNCT_SQL}') AS t FROM corpus)))"""
 )
+
+# Endings that the stand-in stemmer strips when at least three letters remain.
+ENDINGS = r"^(\p{L}{3,}?)(ing|ment|tion|ed|es|en|er|s)$"
+
+
+def stems(docs: DataFrame) -> DataFrame:
+    """(language, token, stem): one row per distinct token."""
+    tokens = docs.select(
+        "language", F.explode(T.wordpunct_tokens(F.col("text"))).alias("token")
+    ).distinct()
+    stem = F.regexp_replace(F.lower("token"), ENDINGS, "$1")
+    return tokens.withColumn("stem", stem)
+
+
+# Fill in ``source``; defines ``stemmed`` (problem, doc_name, text).
+STEM_SQL = f"""stemmed AS (
+  SELECT problem, doc_name, coalesce(string_agg(
+           regexp_replace(lower(token), '{ENDINGS.replace("{", "{{").replace("}", "}}")}', '\\1'), ' ' ORDER BY pos), '') AS text
+  FROM {{source}} LEFT JOIN (
+    SELECT problem, doc_name, unnest(t) AS token, generate_subscripts(t, 1) AS pos
+    FROM (SELECT problem, doc_name, regexp_extract_all(text, '{WORDPUNCT_SQL.replace("{", "{{").replace("}", "}}")}') AS t
+          FROM {{source}})) USING (problem, doc_name)
+  GROUP BY problem, doc_name)"""
