@@ -64,3 +64,51 @@ STEM_SQL = f"""stemmed AS (
     FROM (SELECT problem, doc_name, regexp_extract_all(text, '{WORDPUNCT_SQL.replace("{", "{{").replace("}", "}}")}') AS t
           FROM {{source}})) USING (problem, doc_name)
   GROUP BY problem, doc_name)"""
+
+# Letter -> phone of the stand-in pronunciation by spelling.
+LETTERS = {
+    "a": "ae0", "b": "b", "c": "k", "d": "d", "e": "eh0", "f": "f", "g": "g", "h": "hh", "i": "ih0",
+    "j": "jh", "k": "k", "l": "l", "m": "m", "n": "n", "o": "ow0", "p": "p", "q": "k", "r": "r",
+    "s": "s", "t": "t", "u": "uw0", "v": "v", "w": "w", "x": "z", "y": "y", "z": "z",
+}
+
+
+def pronunciations(docs: DataFrame) -> DataFrame:
+    """(word, variant, phonemes) for every word of plain letters in the corpus.
+
+    The first vowel has primary stress, the third secondary. Words with an a have a second
+    pronunciation.
+    """
+    words = docs.select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))).alias("word")
+    ).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    table = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
+    spelled = F.array_join(
+        F.transform(F.split("word", ""), lambda c: F.element_at(table, c)), " "
+    )
+    first = T.computed_once(words, "p", F.regexp_replace(spelled, "^([^0]*)0", "$1\\1"))
+    first = T.computed_once(first, "p", F.regexp_replace("p", "^([^0]*0[^0]*)0", "$1\\2"))
+    both = F.array(
+        F.struct(F.lit(1).alias("variant"), F.col("p").alias("phonemes")),
+        F.struct(F.lit(2).alias("variant"), F.regexp_replace("p", "ae", "ah").alias("phonemes")),
+    )
+    return first.select("word", F.inline(both)).where(
+        "variant = 1 OR phonemes LIKE '%ah%'"
+    )
+
+
+CMU_SQL = [
+    r"""plain AS (
+  SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM corpus)
+  WHERE regexp_matches(word, '^[a-z]+$'))""",
+    "letters AS (SELECT * FROM (VALUES " + ", ".join(
+        f"('{letter}', '{phone}')" for letter, phone in LETTERS.items()) + ") AS v(letter, phone))",
+    r"""spelled AS (
+  SELECT word, regexp_replace(regexp_replace(string_agg(phone, ' ' ORDER BY i), '^([^0]*)0', '\11'),
+                              '^([^0]*0[^0]*)0', '\12') AS p
+  FROM (SELECT word, unnest(string_split(word, '')) AS letter, generate_subscripts(string_split(word, ''), 1) AS i FROM plain)
+  JOIN letters USING (letter) GROUP BY word)""",
+    """cmu AS (
+  SELECT word, 1 AS variant, p AS phonemes FROM spelled
+  UNION ALL SELECT word, 2, replace(p, 'ae', 'ah') FROM spelled WHERE p LIKE '%ae%')""",
+]
