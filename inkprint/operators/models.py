@@ -3,12 +3,14 @@
 Many small fits are slow on a cluster, one large fit is not. Every (family, problem, split)
 gets its own block of feature numbers, so the loss of one large linear model is the sum of the
 losses of independent small ones; an explicit bias feature per block replaces the common
-intercept. What is left to loop over is the position of a candidate in its problem's list.
+intercept. The one-vs-rest tasks of the candidates share a fit as far as its size allows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
@@ -27,11 +29,14 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.operators.common import DOC, join_dimension, ordinal, top_k
+from inkprint.operators.common import DOC, fits_broadcast, join_dimension, ordinal, top_k
 from inkprint.operators.similarity import PAIR
 from inkprint.session import materialize
 
 FAMILY = ["family", "problem"]
+# How much one fit may hold: coefficients on the driver, matrix cells on the executors.
+MAX_COEFFICIENTS = 2_000_000
+MAX_CELLS = 100_000_000
 
 
 def sparse_vector(size: int, index: Column, value: Column) -> Column:
@@ -99,10 +104,12 @@ def _term_index(features: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
-def block_rows(features: DataFrame, labels: DataFrame, roles: DataFrame) -> DataFrame:
-    """(family, problem, doc_name, split, role, slot, features): one vector per document,
-    family and split, in that block's feature numbers. Documents without a known term keep
-    their bias."""
+def block_rows(features: DataFrame, labels: DataFrame, roles: DataFrame) -> tuple[DataFrame, int]:
+    """(family, problem, doc_name, split, role, slot, places, values) and the number of places.
+
+    One sparse row per document, family and split, in that block's feature numbers. Documents
+    without a known term keep their bias.
+    """
     index = materialize(_term_index(features, roles))
     biases = index.groupBy(*FAMILY).agg(F.max("bias").alias("bias"))
     total = index.groupBy(*FAMILY).agg(F.max("_size").alias("s")).agg(F.sum("s")).first()[0]
@@ -117,16 +124,14 @@ def block_rows(features: DataFrame, labels: DataFrame, roles: DataFrame) -> Data
         cells, [*FAMILY, "doc_name"], "left"
     ).join(labels, DOC, "left")
     shift = F.col("split") * F.lit(total)
-    empty = F.array().cast("array<double>")
-    places = F.concat(
-        F.array(F.col("bias") + shift),
-        F.transform(F.coalesce(F.col("_cells.base"), F.array().cast("array<bigint>")), lambda b: b + shift),
-    )
-    values = F.concat(F.array(F.lit(1.0)), F.coalesce(F.col("_cells.value"), empty))
-    return cases.select(
-        *FAMILY, "doc_name", "split", "role", "slot",
-        sparse_vector(int(total * splits), places, values).alias("features"),
+    bases = F.coalesce(F.col("_cells.base"), F.array().cast("array<bigint>"))
+    places = F.transform(F.concat(F.array("bias"), bases), lambda b: b + shift)
+    known_values = F.coalesce(F.col("_cells.value"), F.array().cast("array<double>"))
+    rows = cases.select(
+        *FAMILY, "doc_name", "split", "role", "slot", places.alias("places"),
+        F.concat(F.array(F.lit(1.0)), known_values).alias("values"),
     )
+    return rows, int(total * splits)
 
 
 def candidate_slots(known: DataFrame) -> DataFrame:
@@ -137,7 +142,7 @@ def candidate_slots(known: DataFrame) -> DataFrame:
 
 
 def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: float = 1.0,
-                max_iter: int = 50) -> DataFrame:
+                max_iter: int = 50, parallelism: int = 4) -> DataFrame:
     """(family, problem, doc_name, split, role, author, margin, hit) of one-vs-rest linear SVMs.
 
     Classes are balanced inside each binary task. The penalty is that of the sum of losses:
@@ -145,41 +150,57 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
     """
     slots = materialize(candidate_slots(known))
     labels = known.select(*PAIR).join(slots, ["problem", "author"]).select(*DOC, "slot")
-    rows = block_rows(features, labels, roles).persist()
-    train = rows.where("role = 'train'")
-    sizes = materialize(train.groupBy(*FAMILY, "split", "slot").agg(F.count("*").alias("n")))
+    rows, places = block_rows(features, labels, roles)
+    rows = rows.persist()
+    train, scored = rows.where("role = 'train'"), rows.where("role <> 'train'")
     blocks = [*FAMILY, "split"]
-    totals = sizes.groupBy(*blocks).agg(F.sum("n").alias("n_all"))
-    out = None
-    for slot in range(slots.agg(F.max("slot")).first()[0] + 1):
-        # Blocks whose problem has such a candidate, with the balanced weights of both classes.
-        mine = sizes.where(F.col("slot") == slot).select(*blocks, F.col("n").alias("n_hit"))
-        weights = materialize(mine.join(totals, blocks).where("n_hit < n_all"))
-        n_rows = weights.agg(F.sum("n_all")).first()[0]
-        if n_rows is None:
-            continue
-        hit = F.when(F.col("slot") == slot, 1.0).otherwise(0.0)
-        weight = F.col("n_all") / (2.0 * F.when(F.col("slot") == slot, F.col("n_hit")).otherwise(
-            F.col("n_all") - F.col("n_hit")))
-        cases = join_dimension(
-            train, weights, blocks, ["doc_name"], materialized=True
-        ).select("features", hit.alias("label"), weight.alias("weight"))
+    sizes = train.groupBy(*blocks, "slot").agg(F.count("*").alias("n_hit"))
+    total = F.sum("n_hit").over(Window.partitionBy(*blocks))
+    # One row per model: its block, its candidate, positive rows and all rows.
+    weights = materialize(
+        sizes.withColumn("n_all", total).where("n_hit < n_all").withColumnRenamed("slot", "task")
+    )
+    small = fits_broadcast(weights)
+    rows_per_task = {
+        r["task"]: r["n"] for r in weights.groupBy("task").agg(F.sum("n_all").alias("n")).collect()
+    }
+    cells = rows.agg(F.sum(F.size("places"))).first()[0]
+    together = max(1, min(MAX_COEFFICIENTS // places, MAX_CELLS // cells))
+
+    def with_tasks(cases: DataFrame, group: list[int]) -> DataFrame:
+        mine = weights.where(F.col("task").isin(group))
+        joined = cases.join(F.broadcast(mine) if small else mine, blocks)
+        # Tasks fitted together stand in blocks of their own as well.
+        place = F.array_position(F.array(*[F.lit(t) for t in group]), F.col("task")) - 1
+        shifted = F.transform("places", lambda p: p + place * places)
+        vector = sparse_vector(places * len(group), shifted, F.col("values"))
+        return joined.withColumn("hit", F.when(F.col("slot") == F.col("task"), 1.0).otherwise(0.0)
+                                 ).withColumn("features", vector)
+
+    def margins_of(group: list[int]) -> DataFrame:
+        size = F.when(F.col("hit") > 0, F.col("n_hit")).otherwise(F.col("n_all") - F.col("n_hit"))
+        cases = with_tasks(train, group).select(
+            "features", F.col("hit").alias("label"), (F.col("n_all") / (2.0 * size)).alias("weight")
+        )
         svm = LinearSVC(
-            maxIter=max_iter, regParam=1.0 / (c * n_rows), fitIntercept=False, standardization=False,
-            weightCol="weight", tol=1e-5,
+            maxIter=max_iter, regParam=1.0 / (c * sum(rows_per_task[t] for t in group)),
+            fitIntercept=False, standardization=False, weightCol="weight", tol=1e-5,
         )
-        scored = svm.fit(cases).transform(rows.where("role <> 'train'"))
-        part = join_dimension(scored, weights, blocks, ["doc_name"], materialized=True).select(
-            *FAMILY, "doc_name", "split", "role", F.lit(slot).alias("_slot"),
+        return svm.fit(cases).transform(with_tasks(scored, group)).select(
+            *FAMILY, "doc_name", "split", "role", "task",
             vector_to_array("rawPrediction")[1].alias("margin"),
-            F.when(F.col("role") == "calibrate", hit).alias("hit"),
+            F.when(F.col("role") == "calibrate", F.col("hit")).alias("hit"),
         )
-        out = part if out is None else out.unionByName(part)
-    named = join_dimension(
-        out, slots.select("problem", "author", F.col("slot").alias("_slot")), ["problem", "_slot"],
-        ["doc_name"], materialized=True,
+
+    tasks = sorted(rows_per_task)
+    groups = [tasks[i:i + together] for i in range(0, len(tasks), together)]
+    # The fits are independent jobs; a few at a time keep the executors busy.
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(margins_of, groups)
+    named = reduce(DataFrame.unionByName, parts).join(
+        slots.withColumnRenamed("slot", "task"), ["problem", "task"]
     )
-    margins = materialize(named.drop("_slot"))
+    margins = materialize(named.drop("task"))
     rows.unpersist()
     return margins
 
