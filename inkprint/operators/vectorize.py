@@ -194,7 +194,7 @@ def _ahead(bodies: DataFrame, width: int) -> DataFrame:
         *PROFILE, "_bucket", F.flatten(F.collect_list("_bucket_head").over(later)).alias("_after")
     )
     return keyed.join(heads, [*PROFILE, "_bucket"]).select(
-        *PROFILE, "doc_name", F.slice(F.concat("_inside", "_after"), 1, width).alias("_ahead")
+        *DOC, F.slice(F.concat("_inside", "_after"), 1, width).alias("_ahead")
     )
 
 
@@ -228,7 +228,7 @@ def _profile_bodies(known: DataFrame) -> DataFrame:
         .alias("_behind"),
     )
     core = F.regexp_replace(T.collapse_spaces(F.col("text")), r"^\s+|\s+$", "")
-    return by_doc(known).join(marks, [*PROFILE, "doc_name"]).select(
+    return by_doc(known).join(marks.drop("author"), DOC).select(
         *PROFILE, "doc_name", F.concat("_before", core, "_behind").alias("_body")
     )
 
@@ -239,7 +239,7 @@ def profile_char_terms(known: DataFrame, sizes: Sequence[int]) -> DataFrame:
     bodies = _profile_bodies(known)
     heads = bodies.withColumn("_head", F.split(F.substring("_body", 1, max(width, 1)), ""))
     ahead = _ahead(heads.select(*PROFILE, "doc_name", "_head"), width)
-    joined = bodies.join(ahead, [*PROFILE, "doc_name"]).select(
+    joined = bodies.join(ahead, DOC).select(
         *PROFILE, F.length("_body").alias("_length"),
         F.concat("_body", F.substring(F.array_join("_ahead", ""), 1, width)).alias("_text"),
     )
@@ -262,7 +262,7 @@ def profile_word_terms(
     heads = tokens.select(
         *PROFILE, "doc_name", F.slice("_tokens", 1, max(width, 1)).alias("_head")
     )
-    joined = tokens.join(_ahead(heads, width), [*PROFILE, "doc_name"])
+    joined = tokens.join(_ahead(heads, width), DOC)
     grams = []
     for n in range(low, high + 1):
         all_tokens = F.concat("_tokens", F.slice("_ahead", 1, n - 1)) if n > 1 else F.col("_tokens")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions import text as T
 from inkprint.operators import vectorize as V
-from inkprint.operators.common import by_doc, ordinal
+from inkprint.operators.common import by_doc
 from inkprint.operators.texts import tag_strings, token_tag_strings, truncate_common
 from inkprint.queries import corpus as C
 from inkprint.queries.derived import TAGS_SQL, tags
@@ -30,7 +30,7 @@ def src_train_test(spark, sf):
 
 QUERIES["src_train_test"] = src_train_test
 ORACLES["src_train_test"] = C.sql("""
-SELECT problem, doc_name, true_author AS author, split, md5(text) AS digest FROM known
+SELECT problem, author || '/' || doc_name AS doc_name, author, split, md5(text) AS digest FROM known
 UNION ALL SELECT problem, doc_name, NULL, split, md5(text) FROM unknown""")
 
 

@@ -17,6 +17,7 @@ def collection(base):
         {"author-name": "candidate00001"}, {"author-name": "candidate00002"}]})
     write(p / "candidate00001" / "known00001.txt", "one\ntwo é")
     write(p / "candidate00002" / "known00001.txt", "other")
+    write(p / "candidate00002" / "a+b %c.txt", "odd name")
     write(p / "nobody" / "known00001.txt", "not used")
     write(p / "unknown" / "unknown00001.txt", "who?")
     write(p / "ground-truth.json", {"ground_truth": [
@@ -35,8 +36,10 @@ def test_collection(spark, tmp_path):
     info = S.read_problem_info(spark, base)
     split = S.train_test(S.read_documents(spark, base), info)
     rows = {(r["author"], r["doc_name"], r["split"], r["text"]) for r in split.collect()}
-    assert rows == {("candidate00001", "known00001.txt", "known", "one\ntwo é"),
-                    ("candidate00002", "known00001.txt", "known", "other"),
+    assert rows == {("candidate00001", "candidate00001/known00001.txt", "known", "one\ntwo é"),
+                    ("candidate00002", "candidate00002/known00001.txt", "known", "other"),
+                    ("candidate00002", "candidate00002/a+b %c.txt", "known", "odd name"),
+                    ("candidate00002", "candidate00002/a+b %c.txt", "known", "odd name"),
                     (None, "unknown00001.txt", "unknown", "who?")}
     assert [tuple(r) for r in S.read_truth(spark, base).collect()] == [
         ("problem00001", "unknown00001.txt", "<UNK>")]
