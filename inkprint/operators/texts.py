@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions import text as T
+from inkprint.functions.stems import english_stems
 from inkprint.operators.common import DOC, by_doc, join_dimension, ordinal
 
 
@@ -44,6 +45,13 @@ def token_tag_strings(tags: DataFrame) -> DataFrame:
     return _ordered_text(tags, F.concat("token", F.lit("/"), "tag"))
 
 
+def english_stem_table(docs: DataFrame, language: str = "english") -> DataFrame:
+    """(language, token, stem) of the distinct tokens of English documents."""
+    english = docs.where(F.col("language") == language)
+    tokens = english.select("language", F.explode(T.wordpunct_tokens(F.col("text"))).alias("token"))
+    return english_stems(tokens.distinct())
+
+
 def stem_tokens(docs: DataFrame, stems: DataFrame) -> DataFrame:
     """Replace each token by its stem and join by blanks; tokens without a stem stay.
 

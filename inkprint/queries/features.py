@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkprint.functions import text as T
 from inkprint.operators import vectorize as V
 from inkprint.operators.common import by_doc
-from inkprint.operators.texts import stem_tokens, tag_strings
+from inkprint.operators.texts import english_stem_table, stem_tokens, tag_strings
 from inkprint.queries import corpus as C
 from inkprint.queries.derived import STEM_SQL, TAGS_SQL, stems, tags
 from inkprint.queries.texts import MASK_SQL, ORDINAL_SQL
@@ -146,6 +146,16 @@ ORACLES["stem_tokens"] = C.sql(
     STEM_SQL.format(source="corpus"), "SELECT problem, doc_name, md5(text) AS digest FROM stemmed")
 
 
+def stem_tokens_english(spark, sf):
+    """Snowball stems for the English documents; the others keep their tokens."""
+    d = C.docs(spark, sf)
+    return stem_tokens(d, english_stem_table(d, "en")).select(
+        "problem", "doc_name", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+QUERIES["stem_tokens_english"] = stem_tokens_english
+
+
 def vocab_top_k(spark, sf):
     return V.vocab_top_k(C.known(C.docs(spark, sf)), 4, 10_000).select(
         "problem", "term", "rank", "cf", F.round("idf", 6).alias("idf"))
