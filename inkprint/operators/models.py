@@ -152,9 +152,8 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
     labels = known.select(*PAIR).join(slots, ["problem", "author"]).select(*DOC, "slot")
     rows, places = block_rows(features, labels, roles)
     rows = rows.persist()
-    train, scored = rows.where("role = 'train'"), rows.where("role <> 'train'")
     blocks = [*FAMILY, "split"]
-    sizes = train.groupBy(*blocks, "slot").agg(F.count("*").alias("n_hit"))
+    sizes = rows.where("role = 'train'").groupBy(*blocks, "slot").agg(F.count("*").alias("n_hit"))
     total = F.sum("n_hit").over(Window.partitionBy(*blocks))
     # One row per model: its block, its candidate, positive rows and all rows.
     weights = materialize(
@@ -166,16 +165,24 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
     }
     cells = rows.agg(F.sum(F.size("places"))).first()[0]
     together = max(1, min(MAX_COEFFICIENTS // places, MAX_CELLS // cells))
+    cases_held = rows
+    if together == 1:  # every fit uses the same vectors
+        vector = sparse_vector(places, F.col("places"), F.col("values"))
+        cases_held = rows.withColumn("features", vector).drop("places", "values").persist()
+    train, scored = cases_held.where("role = 'train'"), cases_held.where("role <> 'train'")
 
     def with_tasks(cases: DataFrame, group: list[int]) -> DataFrame:
         mine = weights.where(F.col("task").isin(group))
-        joined = cases.join(F.broadcast(mine) if small else mine, blocks)
+        joined = cases.join(F.broadcast(mine) if small else mine, blocks).withColumn(
+            "hit", F.when(F.col("slot") == F.col("task"), 1.0).otherwise(0.0)
+        )
+        if together == 1:
+            return joined
         # Tasks fitted together stand in blocks of their own as well.
         place = F.array_position(F.array(*[F.lit(t) for t in group]), F.col("task")) - 1
         shifted = F.transform("places", lambda p: p + place * places)
         vector = sparse_vector(places * len(group), shifted, F.col("values"))
-        return joined.withColumn("hit", F.when(F.col("slot") == F.col("task"), 1.0).otherwise(0.0)
-                                 ).withColumn("features", vector)
+        return joined.withColumn("features", vector)
 
     def margins_of(group: list[int]) -> DataFrame:
         size = F.when(F.col("hit") > 0, F.col("n_hit")).otherwise(F.col("n_all") - F.col("n_hit"))
@@ -201,6 +208,7 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
         slots.withColumnRenamed("slot", "task"), ["problem", "task"]
     )
     margins = materialize(named.drop("task"))
+    cases_held.unpersist()
     rows.unpersist()
     return margins
 

@@ -82,7 +82,8 @@ def attribute(docs: DataFrame, stems: DataFrame | None = None, tags: DataFrame |
               c: float = 1.0, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
     """(answers, scores) of the whole ensemble for the unknown documents."""
     known, unknown = docs.where("split = 'known'"), docs.where("split = 'unknown'")
-    features = M.materialize(scaled(feature_recipe(docs, stems, tags), known))
+    features = M.materialize(feature_recipe(docs, stems, tags))
+    features = M.materialize(scaled(features, known))
     scores = M.multi_fit_predict(features, known, unknown, c=c, max_iter=max_iter)
     voted = M.materialize(D.soft_vote(scores, weights))
     return D.answers_for(unknown, D.reject_gap3(voted, pt, half)), voted
