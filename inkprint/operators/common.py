@@ -11,6 +11,7 @@ from inkprint.session import default_partitions, materialize
 
 DOC = ["problem", "doc_name"]
 BROADCAST_ROWS = 1_000_000
+HOT_ROWS = 1_000_000
 SALTS = 64
 
 
@@ -40,19 +41,40 @@ def join_dimension(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     materialized: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Join facts with a fitted dimension table (inner, left or left_semi).
 
-    The dimension is written out and counted first. Small: broadcast, which keeps
-    the partitioning of the facts. Larger: a shuffle join whose keys carry a salt,
-    so that a hot key (a gram found in every document) spreads over many tasks.
+    The dimension is written out and counted first. Small: broadcast, which keeps the
+    partitioning of the facts. Larger: a shuffle join in which the hot keys (a gram found
+    in very many documents) carry a salt and so spread over many tasks. ``weight`` names a
+    column of the dimension that tells how often a key occurs in the facts; without it the
+    facts are counted.
     """
+    on = list(on)
     dim = dim if materialized else materialize(dim)
+    plain = dim.drop(weight) if weight else dim
     if fits_broadcast(dim, max_rows):
-        return facts.join(F.broadcast(dim), list(on), how)
-    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = facts.withColumn("_salt", salt_of(salt_by, SALTS))
-    return left.join(salted, [*on, "_salt"], how).drop("_salt")
+        return facts.join(F.broadcast(plain), on, how)
+    sizes = dim.withColumn("_rows", F.col(weight)) if weight else facts.groupBy(*on).agg(
+        F.count("*").alias("_rows")
+    )
+    hot = materialize(sizes.where(F.col("_rows") >= HOT_ROWS).select(*on).distinct())
+    if hot.isEmpty():
+        return facts.join(plain, on, how)
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salt = salt_of(salt_by, SALTS)
+    if not fits_broadcast(hot):
+        left, right = facts.withColumn("_salt", salt), plain.withColumn("_salt", F.explode(every))
+    else:
+        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        left = facts.join(marked, on, "left").withColumn(
+            "_salt", F.when(F.col("_hot"), salt).otherwise(0)
+        ).drop("_hot")
+        right = plain.join(marked, on, "left").withColumn(
+            "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+        ).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def top_k(

@@ -81,7 +81,8 @@ def count_by_length(docs: DataFrame, vocab: DataFrame, sizes: Sequence[int]) ->
     grams = char_terms(prepared.select(*DOC, "_length", "text"), sizes)
     counts = grams.groupBy(*DOC, "_length", "term").agg(F.count("*").alias("tf"))
     kept = join_dimension(
-        counts, vocab.select("problem", "term"), ["problem", "term"], DOC, how="left_semi"
+        counts, vocab.select("problem", "term", "n"), ["problem", "term"], DOC, how="left_semi",
+        weight="n",
     )
     value = F.when(F.col("_length") > 0, F.col("tf") / F.col("_length"))
     return kept.select(*DOC, "term", value.alias("value"))
@@ -115,8 +116,8 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame, sublinear: bool = True,
                   materialized: bool = False) -> DataFrame:
     """(problem, doc_name, term, value), each document of Euclidean length 1; unseen terms drop out."""
     kept = join_dimension(
-        counts, idf.select("problem", "term", "idf"), ["problem", "term"], DOC,
-        materialized=materialized,
+        counts, idf.select("problem", "term", "idf", "cf"), ["problem", "term"], DOC,
+        materialized=materialized, weight="cf",
     )
     tf = (F.lit(1.0) + F.log("tf")) if sublinear else F.col("tf").cast("double")
     weighted = kept.select(*DOC, "term", (tf * F.col("idf")).alias("_w"))
@@ -295,8 +296,8 @@ class ProfileTfIdf(TfIdf):
 
     def profiles(self) -> DataFrame:
         kept = join_dimension(
-            self.counts, self.table.select("problem", "term", "idf"), ["problem", "term"],
-            ["author"], materialized=True,
+            self.counts, self.table.select("problem", "term", "idf", "df"), ["problem", "term"],
+            ["author"], materialized=True, weight="df",
         )
         tf = (F.lit(1.0) + F.log("tf")) if self.sublinear else F.col("tf").cast("double")
         weighted = kept.select(*PROFILE, "term", (tf * F.col("idf")).alias("_w"))
@@ -343,8 +344,10 @@ def hstack(blocks: dict[str, DataFrame]) -> DataFrame:
 def max_abs_scale(features: DataFrame, known: DataFrame, group: Sequence[str] = ("problem",)
                   ) -> DataFrame:
     """Divide by the largest absolute value of the known rows; terms unseen there are kept as is."""
-    scale = known.groupBy(*group, "term").agg(F.max(F.abs("value")).alias("_scale"))
-    joined = join_dimension(features, scale, [*group, "term"], DOC, how="left")
+    scale = known.groupBy(*group, "term").agg(
+        F.max(F.abs("value")).alias("_scale"), F.count("*").alias("_n")
+    )
+    joined = join_dimension(features, scale, [*group, "term"], DOC, how="left", weight="_n")
     divisor = F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.lit(1.0))
     return joined.withColumn("value", F.col("value") / divisor).drop("_scale")
 

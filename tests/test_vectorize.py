@@ -17,16 +17,24 @@ def test_tfidf_values(spark, docs):
                       ("2", "b"): 0.861037, ("3", "c"): 1.0}
 
 
-def test_salted_join_equals_broadcast(spark, docs):
+@pytest.mark.parametrize("hot_rows,hot_keys", [(10**6, 10**6), (20, 10**6), (20, 0)])
+@pytest.mark.parametrize("weight", [None, "df"])
+def test_large_dimension_joins_like_a_small_one(spark, docs, monkeypatch, hot_rows, hot_keys, weight):
+    """Without hot keys, with a few salted hot keys, and with every key salted."""
     d = docs(*[("p", str(i), "a", "the cat " * (i % 5 + 1)) for i in range(40)])
     counts = V.term_counts(common.by_doc(d), V.chars(2, 3))
-    idf = V.idf_table(V.document_frequency(counts), V.problem_sizes(d)).select("problem", "term", "idf")
+    idf = V.idf_table(V.document_frequency(counts), V.problem_sizes(d)).select(
+        "problem", "term", "idf", *([weight] if weight else []))
     on, salt = ["problem", "term"], common.DOC
-    small = common.join_dimension(counts, idf, on, salt)
-    large = common.join_dimension(counts, idf, on, salt, max_rows=0)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.select(small.columns).collect()))
-    kept = common.join_dimension(counts, idf.limit(2), on, salt, how="left_semi", max_rows=0)
-    assert kept.select("term").distinct().count() == 2
+    small = common.join_dimension(counts, idf, on, salt, weight=weight)
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "fits_broadcast", lambda df, n=hot_keys: df.count() <= n)
+    for how in ("inner", "left"):
+        large = common.join_dimension(counts, idf, on, salt, how, max_rows=0, weight=weight)
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.select(small.columns).collect()))
+    part = idf.where(F.col("term") == "th")
+    kept = common.join_dimension(counts, part, on, salt, "left_semi", max_rows=0, weight=weight)
+    assert [r["term"] for r in kept.select("term").distinct().collect()] == ["th"]
 
 
 def test_top_k_and_ordinal(spark):
