@@ -40,8 +40,9 @@ MAX_CELLS = 100_000_000
 
 
 def sparse_vector(size: int, index: Column, value: Column) -> Column:
-    """The only way into a vector column for long rows; one call per document."""
-    build = F.udf(lambda i, v: Vectors.sparse(size, list(zip(i, v))), VectorUDT())
+    """The only way into a vector column for long rows: places in ascending order, one call per
+    document."""
+    build = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
     return build(index, value)
 
 

@@ -1,4 +1,5 @@
-"""Fitted models. Their numbers depend on the solver, so there is no SQL counterpart."""
+"""The feature recipe, and fitted models, whose numbers depend on the solver: those have no SQL
+counterpart."""
 
 from __future__ import annotations
 
@@ -11,8 +12,9 @@ from inkprint.operators import vectorize as V
 from inkprint.plans import ensemble
 from inkprint.queries import corpus as C
 from inkprint.queries.decisions import rounded
-from inkprint.queries.derived import stems, tags
-from inkprint.queries.features import used
+from inkprint.queries.derived import STEM_SQL, TAGS_SQL, stems, tags
+from inkprint.queries.features import PROFILE_KEYS, PROFILES_SQL, USED_SQL, used
+from inkprint.queries.texts import MASK_SQL
 from inkprint.session import materialize
 
 QUERIES: dict[str, C.Query] = {}
@@ -74,6 +76,47 @@ def feature_recipe(spark, sf):
         F.count("*").alias("n_values"), F.round(F.sum("value"), 2).alias("sum_value"))
 
 
+def _family_sql(name, counts, min_df, source="known"):
+    """Weights of ``counts`` with a vocabulary fitted on its known documents."""
+    return [
+        f"{name}_train AS (SELECT g.* FROM {counts} g SEMI JOIN known USING (problem, doc_name))",
+        C.idf_sql(f"{name}_idf", f"{name}_train", source, min_df),
+        C.tfidf_sql(name, counts, f"{name}_idf"),
+    ]
+
+
+def _recipe_part(family, table):
+    return f"SELECT '{family}' AS family, problem, value FROM {table}"
+
+
+ORACLES["feature_recipe"] = C.sql(
+    USED_SQL, PROFILES_SQL, STEM_SQL.format(source="used"), TAGS_SQL,
+    C.char_counts_sql("char_g", "used", [3, 4, 5]), *_family_sql("char_v", "char_g", 0.12),
+    C.word_counts_sql("word_g", "stemmed", 1, 3, C.DEFAULT_SQL), *_family_sql("word_v", "word_g", 0.03),
+    f"masked AS (SELECT problem, doc_name, {MASK_SQL} AS text FROM used)",
+    C.char_counts_sql("mask_en", "(SELECT * FROM masked WHERE problem = 'en')", [2, 3, 4, 5, 6]),
+    C.char_counts_sql("mask_other", "(SELECT * FROM masked WHERE problem <> 'en')", list(range(1, 9))),
+    "mask_g AS (SELECT * FROM mask_en UNION ALL SELECT * FROM mask_other)",
+    *_family_sql("mask_v", "mask_g", 0.12),
+    C.char_counts_sql("pc_g", "profiles", [3, 4, 5], keys=PROFILE_KEYS),
+    C.idf_sql("pc_idf", "pc_g", "profiles", 0.12), C.tfidf_sql("pc_v", "char_g", "pc_idf"),
+    C.word_counts_sql("pw_g", "profiles", 1, 3, keys=PROFILE_KEYS),
+    C.idf_sql("pw_idf", "pw_g", "profiles", 0.03),
+    C.word_counts_sql("stem_g", "stemmed", 1, 3), C.tfidf_sql("pw_v", "stem_g", "pw_idf"),
+    C.word_counts_sql("w1_g", "(SELECT * FROM stemmed WHERE problem = 'en')", 1, 1, C.DEFAULT_SQL),
+    *_family_sql("w1_v", "w1_g", 0.03),
+    C.word_counts_sql("w2_g", "(SELECT * FROM stemmed WHERE problem = 'en')", 2, 2, C.DEFAULT_SQL),
+    *_family_sql("w2_v", "w2_g", 0.03),
+    """tagged AS (SELECT problem, doc_name, string_agg(tag, ' ' ORDER BY pos) AS text
+  FROM tags SEMI JOIN used USING (problem, doc_name) WHERE problem IN ('en', 'es') GROUP BY ALL)""",
+    C.char_counts_sql("tag_g", "tagged", [4, 5]), *_family_sql("tag_v", "tag_g", 0.12),
+    "everything AS (" + " UNION ALL ".join(_recipe_part(f, t) for f, t in (
+        ("char", "char_v"), ("word", "word_v"), ("masked", "mask_v"), ("profile", "pc_v"),
+        ("profile", "pw_v"), ("word_pair", "w1_v"), ("word_pair", "w2_v"), ("tag", "tag_v"))) + ")",
+    """SELECT family, problem, count(*) AS n_values, round(sum(value), 2) AS sum_value
+FROM everything GROUP BY family, problem""")
+
+
 def main_ensemble(spark, sf):
     d = _languages(used(spark, sf))
     answers, _ = ensemble.attribute(d, stems(d), tags(d), max_iter=ITERATIONS)
