@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns that decide which characters belong to a token.
+# What counts as white space (all of Unicode's, not only ASCII), and patterns that
+# decide which characters belong to a token.
+_BLANKS = (
+    r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SPACE, NONSPACE = f"[{_BLANKS}]", f"[^{_BLANKS}]"
+SPACES = f"{SPACE}{{2,}}"
 WORD = r"[\p{L}\p{N}_]+"
-WORDPUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+WORDPUNCT = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANKS}]+"
 DEFAULT_TOKEN = r"[\p{L}\p{N}_]{2,}"
 MASKED = "[1-9A-Za-z]"
-SENTENCE_END = r"[.!?]\s+"
+SENTENCE_END = f"([.!?]){SPACE}+"
 
 CHUNK = 16384
 
@@ -28,13 +35,18 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def collapse_spaces(text: Column) -> Column:
     """Runs of two or more white-space characters become one blank; single ones stay."""
-    return F.regexp_replace(text, r"\s\s+", " ")
+    return F.regexp_replace(text, SPACES, " ")
 
 
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def spaced_words(text: Column) -> Column:
+    """Pieces between white space."""
+    return F.regexp_extract_all(text, F.lit(f"{NONSPACE}+"), F.lit(0))
+
+
 def wordpunct_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDPUNCT), F.lit(0))
 
@@ -100,8 +112,8 @@ def skip_bigrams(tokens: Column, span: int) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . ! ? followed by white space; empty pieces are dropped."""
-    parts = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001")
-    return F.filter(parts, lambda s: F.length(F.trim(s)) > 0)
+    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$1\u0001"), "\u0001")
+    return F.filter(parts, lambda s: s.rlike(NONSPACE))
 
 
 def occurrences(text: Column, piece: Column) -> Column:

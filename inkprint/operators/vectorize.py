@@ -208,9 +208,9 @@ def _profile_bodies(known: DataFrame) -> DataFrame:
     place = F.struct(bucket_of("doc_name", BUCKETS).alias("b"), F.col("doc_name").alias("d"))
     edge = known.select(
         *PROFILE, "doc_name", place.alias("_place"),
-        F.regexp_extract("text", r"^(\s*)", 1).alias("_lead"),
-        F.regexp_extract("text", r"(\s*)$", 1).alias("_trail"),
-        F.regexp_extract("text", r"\S", 0).alias("_some"),
+        F.regexp_extract("text", f"^({T.SPACE}*)", 1).alias("_lead"),
+        F.regexp_extract("text", f"({T.SPACE}*)\\z", 1).alias("_trail"),
+        F.regexp_extract("text", T.NONSPACE, 0).alias("_some"),
     )
     full = F.when(F.col("_some") != "", F.col("_place"))
     ends = edge.groupBy(*PROFILE).agg(
@@ -228,7 +228,7 @@ def _profile_bodies(known: DataFrame) -> DataFrame:
         F.when(F.col("_place") == F.col("_last"), outer("_trail", "_last")).otherwise(" ")
         .alias("_behind"),
     )
-    core = F.regexp_replace(T.collapse_spaces(F.col("text")), r"^\s+|\s+$", "")
+    core = F.regexp_replace(T.collapse_spaces(F.col("text")), rf"^{T.SPACE}+|{T.SPACE}+\z", "")
     return by_doc(known).join(marks.drop("author"), DOC).select(
         *PROFILE, "doc_name", F.concat("_before", core, "_behind").alias("_body")
     )

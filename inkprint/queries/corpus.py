@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.functions import text as T
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The candidate sources and the label of a text without author.
@@ -65,9 +67,8 @@ known AS (SELECT * FROM corpus WHERE split = 'known' AND true_author <> '<UNK>')
 unknown AS (SELECT * FROM corpus WHERE split = 'unknown'),
 imposters AS (SELECT * FROM corpus WHERE split = 'known' AND true_author = '<UNK>')"""
 
-WORD_SQL = r"[\p{L}\p{N}_]+"
-WORDPUNCT_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-DEFAULT_SQL = r"[\p{L}\p{N}_]{2,}"
+WORD_SQL, WORDPUNCT_SQL, DEFAULT_SQL = T.WORD, T.WORDPUNCT, T.DEFAULT_TOKEN
+WORDS_SQL = f"{T.NONSPACE}+"
 
 
 def sql(*ctes_and_body: str) -> str:
@@ -79,7 +80,7 @@ def char_counts_sql(name: str, source: str, sizes, text: str = "text", collapse:
                     keys: str = "problem, doc_name") -> str:
     """CTE ``name``(keys, term, tf): character n-gram counts, read in short pieces of the text."""
     longest = max(sizes)
-    value = f"regexp_replace({text}, '\\s\\s+', ' ', 'g')" if collapse else text
+    value = f"regexp_replace({text}, '{T.SPACES}', ' ', 'g')" if collapse else text
     values = ", ".join(f"({n})" for n in sizes)
     return f"""{name} AS (
   SELECT {keys}, substring(piece, p, n) AS term, count(*) AS tf

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions import text as T
-from inkprint.queries.corpus import WORDPUNCT_SQL
+from inkprint.queries.corpus import WORDPUNCT_SQL, WORDS_SQL
 
 # Spelling rule -> tag, first match wins.
 TAG_RULES = [
@@ -80,7 +80,7 @@ def pronunciations(docs: DataFrame) -> DataFrame:
     pronunciation.
     """
     words = docs.select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))).alias("word")
+        F.explode(T.spaced_words(F.lower("text"))).alias("word")
     ).where(F.col("word").rlike("^[a-z]+$")).distinct()
     table = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
     spelled = F.array_join(
@@ -98,8 +98,8 @@ def pronunciations(docs: DataFrame) -> DataFrame:
 
 
 CMU_SQL = [
-    r"""plain AS (
-  SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM corpus)
+    f"""plain AS (
+  SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORDS_SQL}')) AS word FROM corpus)
   WHERE regexp_matches(word, '^[a-z]+$'))""",
     "letters AS (SELECT * FROM (VALUES " + ", ".join(
         f"('{letter}', '{phone}')" for letter, phone in LETTERS.items()) + ") AS v(letter, phone))",

@@ -62,11 +62,11 @@ QUERIES["mean_word_length"] = lambda spark, sf: rounded(
 ORACLES["mean_word_length"] = C.sql(
     LENGTH_SQL, "SELECT problem, doc_name, round(mean_word_length, 6) AS mean_word_length FROM word_length")
 
-SENTENCES_SQL = r"""pieces AS (
+SENTENCES_SQL = rf"""pieces AS (
   SELECT problem, doc_name, s
   FROM (SELECT problem, doc_name,
-               unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s
-        FROM corpus) WHERE trim(s) <> '')"""
+               unnest(string_split(regexp_replace(text, '{T.SENTENCE_END}', '\1' || chr(1), 'g'), chr(1))) AS s
+        FROM corpus) WHERE regexp_matches(s, '{T.NONSPACE}'))"""
 MEASURES_SQL = [
     SENTENCES_SQL,
     f"""measures AS (

@@ -213,12 +213,12 @@ def sentences(spark, sf):
 
 
 QUERIES["sentences"] = sentences
-ORACLES["sentences"] = C.sql(r"""
-SELECT problem, doc_name, count(s) FILTER (trim(s) <> '') AS n_sentences,
-       md5(coalesce(string_agg(s, '|' ORDER BY i) FILTER (trim(s) <> ''), '')) AS digest
+ORACLES["sentences"] = C.sql(rf"""
+SELECT problem, doc_name, count(s) FILTER (regexp_matches(s, '{T.NONSPACE}')) AS n_sentences,
+       md5(coalesce(string_agg(s, '|' ORDER BY i) FILTER (regexp_matches(s, '{T.NONSPACE}')), '')) AS digest
 FROM (SELECT problem, doc_name, unnest(p) AS s, generate_subscripts(p, 1) AS i
       FROM (SELECT problem, doc_name,
-                   string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p
+                   string_split(regexp_replace(text, '{T.SENTENCE_END}', '\1' || chr(1), 'g'), chr(1)) AS p
             FROM corpus))
 GROUP BY problem, doc_name""")
 

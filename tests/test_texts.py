@@ -23,6 +23,13 @@ def test_tokens(spark):
         "L", "'", "età", "era", "bella", "😀", "x", "a9_b", "don", "'", "t"]
 
 
+def test_all_of_unicode_white_space_collapses(spark):
+    text = "a\u00a0\u2003b \u3000 c\x1f\x85d\u00a0e"
+    assert one(spark, T.collapse_spaces, text) == "a b c d\u00a0e"
+    assert one(spark, T.spaced_words, text) == ["a", "b", "c", "d", "e"]
+    assert one(spark, T.wordpunct_tokens, "a\u00a0. \u2003!") == ["a", ".", "!"]
+
+
 def test_sentences_drop_empty_pieces(spark):
     assert one(spark, T.sentences, "One. Two!  Three?") == ["One.", "Two!", "Three?"]
     assert one(spark, T.sentences, "") == []

@@ -58,7 +58,7 @@ def bucket(name):
 
 def random_texts(seed, n, longest):
     rng = random.Random(seed)
-    alphabet = "ab \n é."
+    alphabet = "ab \n é.\u00a0\u2003\x1f"
     return [(f"d{i}", "".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))))
             for i in range(n)]
 
