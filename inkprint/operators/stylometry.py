@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions import text as T
 from inkprint.operators.common import DOC, by_doc, join_dimension
-from inkprint.operators.vectorize import char_terms, whiten
+from inkprint.operators.vectorize import char_terms, term_counts, whiten, words
 
 # Penn Treebank tags; a group counts all its members.
 PENN_TAGS = [
@@ -21,14 +21,13 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
-def function_word_freq(docs: DataFrame, words: Sequence[str]) -> DataFrame:
+def function_word_freq(docs: DataFrame, lexicon: Sequence[str]) -> DataFrame:
     """(problem, doc_name, word, n, share): substring counts and their share of all of them.
 
     The lexicon is a list of literals that unfolds inside each row; no join is needed.
     """
-    lexicon = F.array(*[F.lit(w) for w in words])
     counts = F.transform(
-        lexicon, lambda w: F.struct(w.alias("word"), T.occurrences(F.col("text"), w).cast("long").alias("n"))
+        F.array(*[F.lit(w) for w in lexicon]), lambda w: F.struct(w.alias("word"), T.occurrences(F.col("text"), w).cast("long").alias("n"))
     )
     counted = T.computed_once(docs.select(*DOC, "text"), "_counts", counts).select(*DOC, "_counts")
     total = F.aggregate("_counts", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
@@ -39,8 +38,9 @@ def function_word_freq(docs: DataFrame, words: Sequence[str]) -> DataFrame:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(problem, doc_name, word, f): counts of lower-cased words."""
-    words = by_doc(docs).select(*DOC, F.explode(T.word_tokens(F.lower("text"))).alias("word"))
-    return words.groupBy(*DOC, "word").agg(F.count("*").alias("f"))
+    return term_counts(by_doc(docs), words(1, 1, lambda t: T.word_tokens(F.lower(t)))).select(
+        *DOC, F.col("term").alias("word"), F.col("tf").alias("f")
+    )
 
 
 def frequency_spectrum(docs: DataFrame) -> DataFrame:
@@ -65,9 +65,9 @@ def lexical_richness(docs: DataFrame) -> DataFrame:
 
 
 def mean_word_length(docs: DataFrame) -> DataFrame:
-    words = T.computed_once(docs.select(*DOC, "text"), "_words", T.word_tokens(F.col("text")))
+    split = T.computed_once(docs.select(*DOC, "text"), "_words", T.word_tokens(F.col("text")))
     letters = F.length(F.array_join("_words", ""))
-    return words.select(
+    return split.select(
         *DOC, F.when(F.size("_words") > 0, letters / F.size("_words")).alias("mean_word_length")
     )
 
@@ -86,14 +86,14 @@ def lexical_measures(docs: DataFrame) -> DataFrame:
         F.avg(F.size(T.wordpunct_tokens(F.col("_sentence")))).alias("words_per_sentence"),
         F.stddev_pop(F.size(T.wordpunct_tokens(F.col("_sentence")))).alias("sentence_spread"),
     )
-    words = T.computed_once(
+    marks = T.computed_once(
         by_doc(docs).select(*DOC, "text"), "_words", T.wordpunct_tokens(F.lower("text"))
     ).select(
         *DOC, F.try_divide(F.size(F.array_distinct("_words")), F.size("_words")).alias("type_ratio"),
         *[T.occurrences(F.col("text"), F.lit(mark)).alias(f"_{name}")
           for mark, name in ((",", "commas"), (";", "semicolons"), (":", "colons"))],
     )
-    return words.join(lengths, DOC).select(
+    return marks.join(lengths, DOC).select(
         *DOC, "words_per_sentence", "sentence_spread", "type_ratio",
         *[(F.col(f"_{name}") / F.col("_n")).alias(name) for name in ("commas", "semicolons", "colons")],
     )
@@ -134,10 +134,10 @@ def spelling_variants(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         F.struct(F.trim("british").alias("word"), F.lit("british").alias("variety")),
         F.struct(F.trim("american").alias("word"), F.lit("american").alias("variety")),
     ))).distinct()
-    words = by_doc(docs).select(
+    distinct = by_doc(docs).select(
         *DOC, F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("word")
     )
-    found = join_dimension(words, forms, ["word"], ["doc_name"])
+    found = join_dimension(distinct, forms, ["word"], ["doc_name"])
     def listed(variety):
         return F.array_sort(F.collect_list(F.when(F.col("variety") == variety, F.col("word"))))
 

@@ -2,7 +2,9 @@
 
 Texts are partitioned by document before they are blown up into terms; counting,
 weighting and normalising then stay inside the partition. Only the document
-frequencies cross the network, after map-side aggregation.
+frequencies cross the network, after map-side aggregation. The terms of a document
+are counted inside its row, by sorting, so that no hash table over all documents of
+a partition is needed; only very long documents take the way over rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,15 @@ from inkprint.functions import text as T
 from inkprint.operators.common import DOC, bucket_of, by_doc, join_dimension, top_k
 from inkprint.session import materialize
 
-Analyzer = Callable[[DataFrame], DataFrame]
+LONG_TEXT = 1_000_000  # characters; the terms of longer documents are not held in one row
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """How a text becomes terms: as one row per occurrence, or as the array ``_terms``."""
+
+    rows: Callable[[DataFrame], DataFrame]
+    arrays: Callable[[DataFrame], DataFrame]
 
 
 def char_terms(
@@ -42,31 +52,67 @@ def word_terms(
     return tokens.select(*kept, F.explode(T.word_grams(F.col("_tokens"), low, high)).alias("term"))
 
 
-def chars(low: int, high: int, text_map: Callable[[Column], Column] | None = None) -> Analyzer:
-    """Analyzer: character n-grams of length low to high, after an optional text map."""
-    def analyze(docs: DataFrame) -> DataFrame:
-        mapped = docs if text_map is None else docs.withColumn("text", text_map(F.col("text")))
-        return char_terms(mapped, range(low, high + 1))
+def char_analyzer(sizes: Sequence[int], text_map: Callable[[Column], Column] | None = None,
+                  collapse: bool = True) -> Analyzer:
+    def prepared(docs: DataFrame) -> DataFrame:
+        value = F.col("text") if text_map is None else text_map(F.col("text"))
+        return T.computed_once(docs, "text", T.collapse_spaces(value) if collapse else value)
 
-    return analyze
+    def arrays(docs: DataFrame) -> DataFrame:
+        grams = F.concat(*[T.char_grams(F.col("text"), n) for n in sizes])
+        return prepared(docs).withColumn("_terms", grams).drop("text")
+
+    return Analyzer(lambda docs: char_terms(prepared(docs), sizes, collapse=False), arrays)
+
+
+def chars(low: int, high: int, text_map: Callable[[Column], Column] | None = None) -> Analyzer:
+    """Character n-grams of length low to high, after an optional text map."""
+    return char_analyzer(range(low, high + 1), text_map)
 
 
 def words(
     low: int, high: int, tokenize: Callable[[Column], Column] = T.wordpunct_tokens
 ) -> Analyzer:
-    return lambda docs: word_terms(docs, low, high, tokenize)
+    """Word n-grams of length low to high."""
+    def arrays(docs: DataFrame) -> DataFrame:
+        tokens = T.computed_once(docs, "_tokens", tokenize(F.col("text"))).drop("text")
+        return tokens.withColumn("_terms", T.word_grams(F.col("_tokens"), low, high)).drop("_tokens")
+
+    return Analyzer(lambda docs: word_terms(docs, low, high, tokenize), arrays)
+
+
+def count_in_place(arrays: DataFrame, terms: str, out: str = "term", n: str = "tf") -> DataFrame:
+    """Count the elements of an array column row by row: sort, then measure the runs."""
+    kept = [c for c in arrays.columns if c != terms]
+    df = T.computed_once(arrays, terms, F.sort_array(terms)).where(F.size(terms) > 0)
+    last = F.size(terms) - 1
+    ends = F.filter(
+        F.sequence(F.lit(0), last),
+        lambda i: (i == last) | (F.get(terms, i) != F.get(terms, i + 1)),
+    )
+    df = T.computed_once(df, "_ends", ends)
+    df = df.select(*kept, terms, "_ends", F.posexplode("_ends").alias("_j", "_i"))
+    before = F.when(F.col("_j") == 0, -1).otherwise(F.get("_ends", F.col("_j") - 1))
+    return df.select(
+        *kept, F.get(terms, F.col("_i")).alias(out), (F.col("_i") - before).cast("long").alias(n)
+    )
 
 
 def term_counts(docs: DataFrame, analyzer: Analyzer, keys: Sequence[str] = DOC) -> DataFrame:
-    """(keys, term, tf). Without an exchange when ``docs`` is partitioned by ``keys``."""
-    return analyzer(docs.select(*keys, "text")).groupBy(*keys, "term").agg(
-        F.count("*").alias("tf")
-    )
+    """(keys, term, tf) per document; ``keys`` are the document's key and what depends on it.
+
+    Without an exchange when ``docs`` is partitioned by document.
+    """
+    texts = docs.select(*keys, "text")
+    is_long = F.length("text") > LONG_TEXT
+    short = count_in_place(analyzer.arrays(texts.where(~is_long)), "_terms")
+    long = analyzer.rows(texts.where(is_long)).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return short.unionByName(long)
 
 
 def represent_text(docs: DataFrame, n: int) -> DataFrame:
     """Counts of all n-grams of one length in the raw text."""
-    return term_counts(by_doc(docs), lambda d: char_terms(d, [n], collapse=False))
+    return term_counts(by_doc(docs), char_analyzer([n], collapse=False))
 
 
 def vocab_min_count(known: DataFrame, n: int, ft: int = 5) -> DataFrame:
@@ -78,8 +124,7 @@ def vocab_min_count(known: DataFrame, n: int, ft: int = 5) -> DataFrame:
 def count_by_length(docs: DataFrame, vocab: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """Counts of vocabulary grams divided by the length of the raw text (NULL if empty)."""
     prepared = by_doc(docs).withColumn("_length", F.length("text"))
-    grams = char_terms(prepared.select(*DOC, "_length", "text"), sizes)
-    counts = grams.groupBy(*DOC, "_length", "term").agg(F.count("*").alias("tf"))
+    counts = term_counts(prepared, char_analyzer(sizes), [*DOC, "_length"])
     kept = join_dimension(
         counts, vocab.select("problem", "term", "n"), ["problem", "term"], DOC, how="left_semi",
         weight="n",

@@ -102,9 +102,20 @@ def test_chi2_by_hand(spark, docs):
     assert math.isclose(scores["u"], e[0] + (2 - e[1]) ** 2 / e[1])
 
 
+def test_long_documents_take_the_other_way(spark, docs, monkeypatch):
+    d = docs(("p", "1", "a", "abc abc  ab"), ("p", "2", "a", "abcabcabc abcabc"), ("p", "3", "a", ""))
+    for analyzer in (V.chars(1, 3), V.words(1, 2)):
+        short = sorted(map(tuple, V.term_counts(common.by_doc(d), analyzer).collect()))
+        for limit in (0, 12):
+            monkeypatch.setattr(V, "LONG_TEXT", limit)
+            assert sorted(map(tuple, V.term_counts(common.by_doc(d), analyzer).collect())) == short
+        monkeypatch.undo()
+
+
 def test_no_exchange_after_partitioning_by_document(spark, docs):
     """Counting, weighting and normalising need no shuffle beyond the one by document."""
     d = docs(("p", "1", "a", "aab"), ("p", "2", "b", "abb"))
     plan = V.fit_tfidf(d, V.chars(1, 2), 0.0).transform(d)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    # One for the short and one for the long documents: every text moves once.
+    assert plan.count("Exchange hashpartitioning") == 2
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
