@@ -24,10 +24,15 @@ LONG_TEXT = 1_000_000  # characters; the terms of longer documents are not held
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How a text becomes terms: as one row per occurrence, or as the array ``_terms``."""
+    """How a text becomes terms: as one row per occurrence, or as the array ``_terms``.
+
+    ``repetitive`` says that a text has few distinct terms (masked letters): a hash table of
+    them is small, and rows are counted faster than arrays are sorted.
+    """
 
     rows: Callable[[DataFrame], DataFrame]
     arrays: Callable[[DataFrame], DataFrame]
+    repetitive: bool = False
 
 
 def char_terms(
@@ -53,7 +58,7 @@ def word_terms(
 
 
 def char_analyzer(sizes: Sequence[int], text_map: Callable[[Column], Column] | None = None,
-                  collapse: bool = True) -> Analyzer:
+                  collapse: bool = True, repetitive: bool = False) -> Analyzer:
     def prepared(docs: DataFrame) -> DataFrame:
         value = F.col("text") if text_map is None else text_map(F.col("text"))
         return T.computed_once(docs, "text", T.collapse_spaces(value) if collapse else value)
@@ -62,12 +67,14 @@ def char_analyzer(sizes: Sequence[int], text_map: Callable[[Column], Column] | N
         grams = F.concat(*[T.char_grams(F.col("text"), n) for n in sizes])
         return prepared(docs).withColumn("_terms", grams).drop("text")
 
-    return Analyzer(lambda docs: char_terms(prepared(docs), sizes, collapse=False), arrays)
+    return Analyzer(
+        lambda docs: char_terms(prepared(docs), sizes, collapse=False), arrays, repetitive
+    )
 
 
 def chars(low: int, high: int, text_map: Callable[[Column], Column] | None = None) -> Analyzer:
     """Character n-grams of length low to high, after an optional text map."""
-    return char_analyzer(range(low, high + 1), text_map)
+    return char_analyzer(range(low, high + 1), text_map, repetitive=text_map is T.distort)
 
 
 def words(
@@ -101,13 +108,18 @@ def count_in_place(arrays: DataFrame, terms: str, out: str = "term", n: str = "t
 def term_counts(docs: DataFrame, analyzer: Analyzer, keys: Sequence[str] = DOC) -> DataFrame:
     """(keys, term, tf) per document; ``keys`` are the document's key and what depends on it.
 
-    Without an exchange when ``docs`` is partitioned by document.
+    Without an exchange when ``docs`` is partitioned by document. Texts that are costly to
+    compute should be written out first: short and long ones are read apart.
     """
+    def by_rows(texts: DataFrame) -> DataFrame:
+        return analyzer.rows(texts).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
     texts = docs.select(*keys, "text")
+    if analyzer.repetitive:
+        return by_rows(texts)
     is_long = F.length("text") > LONG_TEXT
     short = count_in_place(analyzer.arrays(texts.where(~is_long)), "_terms")
-    long = analyzer.rows(texts.where(is_long)).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    return short.unionByName(long)
+    return short.unionByName(by_rows(texts.where(is_long)))
 
 
 def represent_text(docs: DataFrame, n: int) -> DataFrame:

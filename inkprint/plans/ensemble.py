@@ -12,6 +12,7 @@ from inkprint.operators import decide as D
 from inkprint.operators import models as M
 from inkprint.operators import vectorize as V
 from inkprint.operators.texts import stem_tokens, tag_strings
+from inkprint.session import materialize
 
 # Languages with extra families and the n-gram ranges of masked texts.
 WORD_PAIR_LANGUAGES = ("english", "italian")
@@ -36,7 +37,7 @@ def feature_recipe(docs: DataFrame, stems: DataFrame | None = None,
     authors are those of the known documents. All problems share one plan per family.
     """
     known = docs.where("split = 'known'")
-    stemmed = docs if stems is None else stem_tokens(docs, stems)
+    stemmed = docs if stems is None else materialize(stem_tokens(docs, stems))
     families = [_named(_fitted(docs, V.chars(3, 5), 0.12), "char")]
     families.append(_named(_fitted(stemmed, V.words(1, 3, T.default_tokens), 0.03), "word"))
 
@@ -61,8 +62,8 @@ def feature_recipe(docs: DataFrame, stems: DataFrame | None = None,
     }), "word_pair"))
 
     if tags is not None:
-        strings = tag_strings(tags)
-        tagged = docs.where(F.col("language").isin(list(TAG_LANGUAGES))).drop("text").join(strings, V.DOC)
+        wanted = docs.where(F.col("language").isin(list(TAG_LANGUAGES))).drop("text")
+        tagged = materialize(wanted.join(tag_strings(tags), V.DOC))
         families.append(_named(_fitted(tagged, V.chars(4, 5), 0.12), "tag"))
 
     out = families[0]
@@ -82,10 +83,10 @@ def attribute(docs: DataFrame, stems: DataFrame | None = None, tags: DataFrame |
               c: float = 1.0, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
     """(answers, scores) of the whole ensemble for the unknown documents."""
     known, unknown = docs.where("split = 'known'"), docs.where("split = 'unknown'")
-    features = M.materialize(feature_recipe(docs, stems, tags))
-    features = M.materialize(scaled(features, known))
+    features = materialize(feature_recipe(docs, stems, tags))
+    features = materialize(scaled(features, known))
     scores = M.multi_fit_predict(features, known, unknown, c=c, max_iter=max_iter)
-    voted = M.materialize(D.soft_vote(scores, weights))
+    voted = materialize(D.soft_vote(scores, weights))
     return D.answers_for(unknown, D.reject_gap3(voted, pt, half)), voted
 
 
@@ -95,6 +96,6 @@ def attribute_by_counts(known: DataFrame, unknown: DataFrame, n: int = 3, ft: in
     vocab = V.vocab_min_count(known, n, ft)
     docs = known.unionByName(unknown)
     counts = _named(V.count_by_length(docs, vocab, [n]), "counts")
-    features = M.materialize(scaled(counts, known))
+    features = materialize(scaled(counts, known))
     scores = M.multi_fit_predict(features, known, unknown, max_iter=max_iter)
     return D.answers_for(unknown, D.reject_gap(scores.drop("model"), pt))

@@ -11,6 +11,7 @@ from inkprint.operators.texts import english_stem_table, stem_tokens, tag_string
 from inkprint.queries import corpus as C
 from inkprint.queries.derived import STEM_SQL, TAGS_SQL, stems, tags
 from inkprint.queries.texts import MASK_SQL, ORDINAL_SQL
+from inkprint.session import materialize
 
 QUERIES: dict[str, C.Query] = {}
 ORACLES: dict[str, str] = {}
@@ -105,8 +106,7 @@ ORACLES["instance_pos_tfidf"] = _instance_sql(
 
 def _tagged(spark, sf):
     d = used(spark, sf)
-    strings = tag_strings(tags(d))
-    return d.drop("text").join(strings, V.DOC)
+    return materialize(d.drop("text").join(tag_strings(tags(d)), V.DOC))
 
 
 def instance_dist_tfidf(spark, sf):
@@ -130,7 +130,7 @@ ORACLES["instance_dist_tfidf"] = _instance_sql(
 
 QUERIES["instance_word_tfidf"] = _instance(
     V.words(1, 3, T.default_tokens), 0.03,
-    lambda spark, sf: stem_tokens(used(spark, sf), stems(used(spark, sf))))
+    lambda spark, sf: materialize(stem_tokens(used(spark, sf), stems(used(spark, sf)))))
 ORACLES["instance_word_tfidf"] = _instance_sql(
     0.03, STEM_SQL.format(source="used"),
     C.word_counts_sql("grams", "stemmed", 1, 3, C.DEFAULT_SQL))
