@@ -509,9 +509,11 @@ JOIN (SELECT problem, doc_name, string_agg(printf('%.6f', p), ' ' ORDER BY autho
 
 def flagship(spark, sf):
     d = C.docs(spark, sf)
-    answers = attribute_by_profile(C.known(d), C.unknown(d), pt=PT)
+    answers = materialize(attribute_by_profile(C.known(d), C.unknown(d), pt=PT))
     gold = C.unknown(d).select("problem", "doc_name", "true_author")
-    return rounded(E.macro_prf(E.align(gold, answers)), *MACRO_COLUMNS)
+    expected = gold.groupBy("problem").agg(F.count_if(F.col("true_author") == "<UNK>").alias("expected"))
+    scores = rounded(E.macro_prf(E.align(gold, answers)), *MACRO_COLUMNS)
+    return scores.join(D.unattributed_count(answers, expected), "problem")
 
 
 QUERIES["flagship"] = flagship
@@ -528,4 +530,8 @@ ORACLES["flagship"] = C.sql(
   THEN '<UNK>' ELSE predicted_author END AS predicted_author FROM top)""",
     *ALIGNED_SQL[-3:], """
 SELECT problem, round(macro_f1, 6) AS macro_f1, round(macro_precision, 6) AS macro_precision,
-       round(macro_recall, 6) AS macro_recall FROM macro""")
+       round(macro_recall, 6) AS macro_recall, unattributed, n_answers, expected
+FROM macro
+JOIN (SELECT problem, count(*) FILTER (predicted_author = '<UNK>') AS unattributed, count(*) AS n_answers
+      FROM answers GROUP BY problem) USING (problem)
+JOIN (SELECT problem, count(*) FILTER (true_author = '<UNK>') AS expected FROM truth GROUP BY problem) USING (problem)""")
