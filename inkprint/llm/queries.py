@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import pieces
+from inkprint.llm import pieces, quality
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digest_texts(table(spark, sf, "documents"), piece_model(), ["doc_id"])
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality": op3_quality,
 }
 
 ORACLES: dict[str, str] = {}
