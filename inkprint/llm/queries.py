@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkprint.llm import pieces, quality
+from inkprint.llm import decontaminate, pieces, quality, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,9 +26,47 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality": op3_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": """
+        WITH texts AS (
+            SELECT row_number() OVER () AS place, doc_id AS id, text, false AS item FROM documents
+            UNION ALL SELECT 0, item_id, text, true FROM benchmark
+        ), worded AS (
+            SELECT place, id, item, list_filter(string_split(
+                regexp_replace(lower(text), '[\\x00-/:-@\\[-`{-\\x7F]', ' ', 'g'), ' '), w -> w <> '') AS w
+            FROM texts WHERE text IS NOT NULL
+        ), sized AS (
+            SELECT item, len(w) AS n, least(5, len(w)) AS width, place, id, w FROM worded WHERE len(w) > 0
+        ), widths AS (SELECT DISTINCT width FROM sized WHERE item),
+        cut AS (
+            SELECT DISTINCT s.item, s.place, s.id, v.width,
+                   unnest(list_transform(range(1, s.n - v.width + 2),
+                          k -> array_to_string(s.w[k : k + v.width - 1], ' '))) AS shingle
+            FROM sized s JOIN widths v ON CASE WHEN s.item THEN s.width = v.width ELSE s.n >= v.width END
+        ), sizes AS (SELECT id, width, count(*) AS n FROM cut WHERE item GROUP BY ALL)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, count(*) / any_value(z.n) AS containment
+        FROM cut d JOIN cut i ON d.shingle = i.shingle AND d.width = i.width
+             JOIN sizes z ON z.id = i.id
+        WHERE NOT d.item AND i.item
+        GROUP BY d.place, d.id, i.id HAVING count(*) >= 0.8 * any_value(z.n) - 1e-9
+    """,
+}
