@@ -35,12 +35,16 @@ def slices(
 
 
 def plain(array: pa.Array) -> pa.Array:
-    """Texts with 64-bit offsets, null as the empty text."""
-    return pc.fill_null(array.cast(pa.large_string()), "")
+    """Texts with 64-bit offsets that begin at 0, null as the empty text. Some kernels go wrong on
+    slices whose offsets begin elsewhere."""
+    data, at = buffers(pc.fill_null(array.cast(pa.large_string()), ""))
+    return pa.LargeStringArray.from_buffers(
+        len(array), pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(data)
+    )
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and the n + 1 offsets of ``plain`` texts."""
+    """Bytes of texts with 64-bit offsets, and their n + 1 offsets from 0."""
     _, offsets, data = array.buffers()
     places = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1]
     if not len(array):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontaminate, pieces, quality, simhash
+from inkprint.llm import decontaminate, pieces, private, quality, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.digest_texts(table(spark, sf, "documents"), piece_model(), ["doc_id"])
 
 
+def op2_private(spark: SparkSession, sf: str) -> DataFrame:
+    return private.find_private(table(spark, sf, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -40,6 +44,7 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_private": op2_private,
     "op3_quality": op3_quality,
     "op5_decontaminate": op5_decontaminate,
     "op9_simhash": op9_simhash,
@@ -52,7 +57,7 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 0, item_id, text, true FROM benchmark
         ), worded AS (
             SELECT place, id, item, list_filter(string_split(
-                regexp_replace(lower(text), '[\\x00-/:-@\\[-`{-\\x7F]', ' ', 'g'), ' '), w -> w <> '') AS w
+                regexp_replace(lower(text), '[\\x00-/:-@\\[-`{-\\x7F]', ' ', 'g'), ' '), lambda w: w <> '') AS w
             FROM texts WHERE text IS NOT NULL
         ), sized AS (
             SELECT item, len(w) AS n, least(5, len(w)) AS width, place, id, w FROM worded WHERE len(w) > 0
@@ -60,7 +65,7 @@ ORACLES: dict[str, str] = {
         cut AS (
             SELECT DISTINCT s.item, s.place, s.id, v.width,
                    unnest(list_transform(range(1, s.n - v.width + 2),
-                          k -> array_to_string(s.w[k : k + v.width - 1], ' '))) AS shingle
+                          lambda k: array_to_string(s.w[k : k + v.width - 1], ' '))) AS shingle
             FROM sized s JOIN widths v ON CASE WHEN s.item THEN s.width = v.width ELSE s.n >= v.width END
         ), sizes AS (SELECT id, width, count(*) AS n FROM cut WHERE item GROUP BY ALL)
         SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, count(*) / any_value(z.n) AS containment

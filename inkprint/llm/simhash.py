@@ -68,76 +68,65 @@ def fingerprints(
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(work, f"{kept}, `{out}` long")
 
 
-def _segments(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of radius // 2 + 1 segments: of two fingerprints within the radius, one
-    segment differs in at most one bit."""
-    cuts = np.linspace(0, BITS, radius // 2 + 2).astype(int).tolist()
+def _segments(count: int = 2) -> list[tuple[int, int]]:
+    """(lowest bit, width) of equal segments: of two fingerprints within three bits, one of two
+    segments differs in at most one bit."""
+    cuts = [BITS * k // count for k in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _part(fp: Column, low: int, width: int) -> Column:
-    mask = (1 << width) - 1
-    return F.shiftrightunsigned(fp, low) if width + low == BITS else F.shiftrightunsigned(
-        fp, low).bitwiseAND(F.lit(mask).cast("long"))
+def _key(fp: Column, segment: int, low: int, width: int) -> Column:
+    """The segment's bits, with the segment's number in front."""
+    bits = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.lit(segment << 40).cast("long").bitwiseOR(bits)
+
+
+def _one_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
 def _cleared(key: Column, width: int) -> Column:
     """The key and every key with one of its set bits cleared. That is enough of the Hamming ball:
     of two keys that differ in one bit, one has it set."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function(
-        "shiftleft", F.lit(1).cast("long"), i))
-    return F.concat(
-        F.array(key),
-        F.transform(F.filter(flips, lambda b: key.bitwiseAND(b) != 0), lambda b: key.bitwiseXOR(b)),
-    )
+    flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), _one_bit)
+    flips = F.filter(flips, lambda b: key.bitwiseAND(b) != 0)
+    return F.concat(F.array(key), F.transform(flips, lambda b: key.bitwiseXOR(b)))
 
 
 def links(prints: DataFrame, radius: int = 2, hot: int = HOT_BUCKET) -> DataFrame:
     """Links (a, b), a <> b, between distinct fingerprints of column ``fp``: enough of those at
-    ``radius`` or fewer differing bits that the components are those of all of them.
+    ``radius`` (1 or 2) or fewer differing bits that the components are those of all of them.
 
     Each segment of a fingerprint is filed in a table; probes are the segment's small Hamming
-    ball; matches are verified on all bits. Buckets with more than ``hot`` fingerprints are not
-    joined. Whatever meets in them is linked through midpoints instead: fingerprints within two
-    bits share a neighbour at one bit at most, and all that share a neighbour (65 at most) are
+    ball; matches are verified on all bits. Buckets with more than ``hot`` fingerprints only tell
+    which fingerprints meet there. Those are linked through their neighbours: fingerprints within
+    two bits share a neighbour at one bit at most, and all that share a neighbour (65 at most) are
     within two bits of each other, so a link to the smallest of them is enough.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("radius 0 to 2")
+    if radius not in (1, 2):
+        raise ValueError("radius 1 or 2")
     fp = F.col("fp")
-    parts = [
-        F.struct(F.lit(s).alias("segment"), _part(fp, low, width).alias("key"), F.lit(width).alias("width"))
-        for s, (low, width) in enumerate(_segments(radius))
-    ]
-    filed = prints.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.*")
-    probes = filed
-    if radius:
-        balls = F.lit(None)
-        for width in {w for _, w in _segments(radius)}:
-            balls = F.when(F.col("width") == width, _cleared(F.col("key"), width)).otherwise(balls)
-        probes = filed.select("fp", "segment", F.explode(balls).alias("key"))
-    sizes = filed.groupBy("segment", "key").agg(F.count("*").alias("size"))
-    full = materialize(sizes.where(F.col("size") > hot).select("segment", "key"))
-    a, b = probes.select(F.col("fp").alias("a"), "segment", "key"), filed.select(
-        F.col("fp").alias("b"), "segment", "key")
-    crowded = not full.isEmpty()
-    if crowded:
-        b = b.join(full, ["segment", "key"], "left_anti")
-    near = a.join(b, ["segment", "key"]).where("a <> b").where(
-        F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    ).select("a", "b")
-    if not crowded:
-        return near
-    met = probes.select("fp", "segment", "key").join(full, ["segment", "key"], "left_semi")
-    met = met.select("fp").distinct()
-    flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: fp.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    around = met.select("fp", F.explode(F.concat(F.array(fp), flips) if radius == 2 else F.concat(
-        F.array(fp), F.transform(F.filter(flips, lambda x: x < fp), lambda x: x))).alias("mid"))
-    if radius < 2:  # one bit: a set of neighbours is not a clique, so only the middle itself counts
-        middles = met.select(F.col("fp").alias("mid"))
-        own = around.join(middles, "mid", "left_semi") if radius else around.where("fp = mid")
+    keys = [(_key(fp, s, low, width), width) for s, (low, width) in enumerate(_segments())]
+    filed = prints.select(F.explode(F.array(*[k for k, _ in keys])).alias("key"), "fp")
+    probes = prints.select(F.explode(F.concat(*[_cleared(k, w) for k, w in keys])).alias("key"), "fp")
+    sizes = filed.groupBy("key").agg(F.count("*").alias("size"))
+    full = materialize(sizes.where(F.col("size") > hot).select("key"))
+    shelves = filed.select("key", F.col("fp").alias("b")).join(full, "key", "left_anti").union(
+        full.select("key", F.lit(None).cast("long").alias("b"))
+    )
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    met = materialize(
+        probes.select("key", F.col("fp").alias("a")).join(shelves, "key")
+        .where(F.col("b").isNull() | ((F.col("a") != F.col("b")) & (apart <= radius))).select("a", "b")
+    )
+    near = met.where("b is not null")
+    crowd = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: fp.bitwiseXOR(_one_bit(i)))
+    around = crowd.select("fp", F.explode(F.concat(F.array(fp), flips)).alias("mid"))
+    if radius == 1:  # neighbours of one fingerprint may be two bits apart: the middle has to exist
+        own = around.join(crowd.select(F.col("fp").alias("mid")), "mid", "left_semi")
         return near.union(own.where("fp <> mid").select(F.col("fp").alias("a"), F.col("mid").alias("b")))
+    around = around.repartition("mid")
     hubs = around.groupBy("mid").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub <> top")
     hung = around.join(hubs, "mid").where("fp <> hub")
     return near.union(hung.select(F.col("fp").alias("a"), F.col("hub").alias("b")))

@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 
 from inkprint.llm import pieces
-from inkprint.llm.common import bounds
+from inkprint.llm.common import bounds, plain, words_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -36,6 +36,18 @@ def test_ids_and_texts(library):
         assert shown[k].decode() == library.decode(want)
 
 
+def test_slices_of_arrays():
+    model, texts = pieces.load(PATH), ["Some A b", "C  d E f\n", None, "", "G h I"]
+    whole = pa.array(texts)
+    for k in range(5):
+        ids, per = model.encode(whole.slice(k))
+        want = model.encode(pa.array(texts[k:], pa.string()))
+        assert ids.tolist() == want[0].tolist() and per.tolist() == want[1].tolist()
+        words, counts = words_of(plain(whole.slice(k)))
+        assert words.to_pylist() == [w.lower() for t in texts[k:] for w in (t or "").split()]
+        assert counts.tolist() == [len((t or "").split()) for t in texts[k:]]
+
+
 def test_decodes_any_ids(library):
     model, rnd = pieces.load(PATH), random.Random(6)
     for _ in range(1500):
