@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from inkprint.session import materialize
 
 SLICE_BYTES = 8 << 20
-#: Bytes of words split by the white space that the contracts name: space, tab to carriage return.
-WHITE = b" \t\n\x0b\x0c\r"
 
 
 def slices(
@@ -80,17 +78,14 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.bincount(parents, minlength=len(texts)).astype(np.int64)
 
 
-def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in columns or df.columns])
+def held_out(id_col: str, folds: int, fold: int = 0) -> Column:
+    """crc32 of the id as text modulo folds; a null id is never held out."""
+    rest = F.crc32(F.col(id_col).cast("string")) % folds == fold
+    return F.coalesce(rest, F.lit(False))
 
 
-def pass_texts(
-    df: DataFrame,
-    work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
-) -> DataFrame:
-    """Run ``work`` over Arrow batches of the rows, each partition on its own."""
-    return df.mapInArrow(work, schema)
+def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns or df.columns])
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import bounds, buffers, plain, slices, sums, words_of
+from inkprint.llm.common import bounds, buffers, held_out, plain, slices, sums, words_of
 
 FEATURES = [
     "log_bytes", "upper_share", "digit_share", "mark_share", "exclaim_share", "stops_per_word",
@@ -31,12 +31,6 @@ THRESHOLD = 0.3
 FOLDS = 5
 
 
-def held_out(id_col: str, folds: int = FOLDS, fold: int = 0) -> Column:
-    """crc32 of the id as text modulo folds; a null id is never held out."""
-    rest = F.crc32(F.col(id_col).cast("string")) % folds == fold
-    return F.coalesce(rest, F.lit(False))
-
-
 def _distinct(owner: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes per owner, and the count of the most frequent one."""
     key = np.sort((owner.astype(np.uint64) << np.uint64(40)) | (code & np.uint64((1 << 40) - 1)))
@@ -273,6 +267,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     scored = score_texts(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"])
     return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        "doc_id", held_out("doc_id", FOLDS).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontaminate, pieces, private, quality, simhash
+from inkprint.llm import decontaminate, language, multiset, pieces, private, quality, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op4_multiset(spark: SparkSession, sf: str) -> DataFrame:
+    return multiset.compare_edited(table(spark, sf, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -46,7 +54,9 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_private": op2_private,
     "op3_quality": op3_quality,
+    "op4_multiset": op4_multiset,
     "op5_decontaminate": op5_decontaminate,
+    "op7_language": op7_language,
     "op9_simhash": op9_simhash,
 }
 

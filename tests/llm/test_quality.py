@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
 
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
-    turned = labels.withColumn("quality", quality.F.when(quality.held_out("doc_id"), 1 - quality.F.col("quality"))
+    turned = labels.withColumn("quality", quality.F.when(quality.held_out("doc_id", 5), 1 - quality.F.col("quality"))
                                .otherwise(quality.F.col("quality")))
     assert quality.judge(docs, labels).collect() == quality.judge(docs, turned).collect()
 
