@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontaminate, language, multiset, pieces, private, quality, simhash
+from inkprint.llm import decontaminate, language, multiset, ngrams, pieces, private, quality, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    return ngrams.score_texts(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_private": op2_private,
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_language": op7_language,
     "op9_simhash": op9_simhash,
+    "op10_ngrams": op10_ngrams,
 }
 
 ORACLES: dict[str, str] = {
