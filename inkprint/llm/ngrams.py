@@ -34,6 +34,7 @@ DISCOUNT = 0.5
 SHARE_BITS = 22
 SHARE = 2.0**-SHARE_BITS
 CODES = 4096
+SLICE = 4 << 20
 END = xxhash.xxh64_intdigest(b"\n")
 
 
@@ -161,7 +162,7 @@ def _counts(texts: DataFrame, share, column: str) -> DataFrame:
     """Sums over all tasks of the (key, n) that ``share`` makes of a batch of texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             keys, n = share(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=[column, "n"]
@@ -263,7 +264,7 @@ def score_texts(
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             yield _scored(load(sent), part)
 
     local = rows.mapInArrow(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontaminate, language, multiset, ngrams, pieces, private, quality, simhash
+from inkprint.llm import counts, decontaminate, language, multiset, ngrams, pieces, private, quality, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,30 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
 
+def op8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with three edits, made of its own text: the last 20 code points go, 40 from the
+    second quarter are written again in its middle, and its first two thirds get a new word."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    size = F.length("text")
+    quarter, half, third = (F.floor(size * x).cast("int") for x in (0.25, 0.5, 0.66))
+
+    def edit(start, end, put):
+        return F.struct(start.alias("start"), end.alias("end"), put.alias("put"))
+
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("edits", F.array(
+        edit(F.greatest(size - 20, third), size, F.lit("")),
+        edit(half, half, F.substring("text", quarter + 1, F.lit(40))),
+        edit(quarter, F.least(quarter + 3, half), F.lit(" revised")),
+    ))
+    planted = counts.plant(docs, path, pattern, ["doc_id", "text", "edits"])
+    return counts.revise(planted, path, pattern).select(
+        "doc_id", "n_tokens", "edited_tokens", "n_leaves", "n_encoded", F.sha2("text", 256).alias("edited_sha256")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -61,6 +85,7 @@ QUERIES = {
     "op4_multiset": op4_multiset,
     "op5_decontaminate": op5_decontaminate,
     "op7_language": op7_language,
+    "op8_counts": op8_counts,
     "op9_simhash": op9_simhash,
     "op10_ngrams": op10_ngrams,
 }
