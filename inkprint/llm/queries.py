@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import counts, decontaminate, language, multiset, ngrams, pieces, private, quality, simhash
+from inkprint.llm import (
+    counts, decontaminate, language, multiset, ngrams, pieces, private, quality, simhash, wrappers,
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +40,10 @@ def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op6_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf, "pages"))
+
+
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_multiset": op4_multiset,
     "op5_decontaminate": op5_decontaminate,
+    "op6_wrappers": op6_wrappers,
     "op7_language": op7_language,
     "op8_counts": op8_counts,
     "op9_simhash": op9_simhash,
