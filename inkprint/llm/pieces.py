@@ -19,6 +19,7 @@ from inkprint.llm.common import bounds, buffers, plain, ragged, slices
 SPACE = "▁"
 SIDE = 1 << 21  # symbols are pieces or, behind them, single characters outside the vocabulary
 LONG_WORD = 2048
+SLICE = 4 << 20
 NONE = np.iinfo(np.int32).max
 SEGMENT = re.compile(r" +[^ ]*")
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -311,7 +312,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE):
             ids, per_text = model.encode(part.column(text_col))
             lists = pa.LargeListArray.from_arrays(bounds(per_text), pa.array(ids, pa.int32()))
             shown = [t.decode() for t in model.decode(ids, per_text)]
@@ -336,7 +337,7 @@ def digest_texts(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE):
             made = _digest(model, part.column(text_col))
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), *made],
