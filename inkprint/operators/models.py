@@ -296,32 +296,38 @@ def oof_predict(features: DataFrame, known: DataFrame, outer: int = 7, inner: in
 
 def stacking(train_scores: DataFrame, test_scores: DataFrame, known: DataFrame,
              max_iter: int = 100, reg: float = 0.01) -> DataFrame:
-    """Second-level model on first-level scores: one multinomial regression over blocks of
-    (problem, model, candidate) features."""
+    """Second-level model on first-level scores: per problem a multinomial regression over its own
+    (model, candidate) features and its own candidates, so that problems don't touch each other."""
     slots = materialize(candidate_slots(known))
-    models = train_scores.select("problem", "model").distinct()
-    places = models.join(slots, "problem")
+    places = train_scores.select("problem", "model").distinct().join(slots, "problem")
     numbered = materialize(places.withColumn(
-        "g", F.row_number().over(Window.orderBy("problem", "model", "slot")) - 1))
-    size = numbered.count()
+        "g", F.row_number().over(Window.partitionBy("problem").orderBy("model", "slot")) - 1))
 
-    def vectors(scores: DataFrame) -> DataFrame:
+    def cells(scores: DataFrame) -> DataFrame:
         joined = join_dimension(
             scores, numbered, ["problem", "model", "author"], ["doc_name"], materialized=True
         )
-        cells = F.array_sort(F.collect_list(F.struct("g", "p")))
-        return joined.groupBy(*DOC).agg(cells.alias("c")).select(
-            *DOC, sparse_vector(size, F.col("c.g"), F.col("c.p")).alias("features")
+        gathered = F.array_sort(F.collect_list(F.struct("g", "p")))
+        return materialize(joined.groupBy(*DOC).agg(gathered.alias("c")))
+
+    labels = materialize(known.select(*PAIR).join(slots, ["problem", "author"]).select(
+        *DOC, F.col("slot").cast("double").alias("label")))
+    train, test = cells(train_scores), cells(test_scores)
+    sizes = {r["problem"]: r["size"] for r in numbered.groupBy("problem").agg(
+        F.count("*").alias("size")).collect()}
+
+    def one(problem: str) -> DataFrame:
+        own = F.col("problem") == problem
+        vector = sparse_vector(sizes[problem], F.col("c.g"), F.col("c.p")).alias("features")
+        model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial").fit(
+            train.where(own).select(*DOC, vector).join(labels, DOC)
+        )
+        return model.transform(test.where(own).select(*DOC, vector)).select(
+            *DOC, F.posexplode(vector_to_array("probability")).alias("slot", "q")
         )
 
-    labels = known.select(*PAIR).join(slots, ["problem", "author"]).select(
-        *DOC, F.col("slot").cast("double").alias("label"))
-    model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial").fit(
-        vectors(train_scores).join(labels, DOC)
-    )
-    spread = model.transform(vectors(test_scores)).select(
-        *DOC, F.posexplode(vector_to_array("probability")).alias("slot", "q")
-    )
+    with ThreadPool(4) as pool:
+        spread = reduce(DataFrame.union, pool.map(one, sorted(sizes)))
     named = join_dimension(spread, slots, ["problem", "slot"], ["doc_name"], materialized=True)
     total = F.sum("q").over(Window.partitionBy(*DOC))
     return named.select(*PAIR, (F.col("q") / total).alias("p"))
@@ -343,9 +349,16 @@ def top_term_vectors(features: DataFrame, known: DataFrame, k: int = 200) -> Dat
     )
 
 
+def one_problem(df: DataFrame) -> None:
+    """Refuse more than one problem: place i and label k mean other things in each."""
+    if df.select("problem").distinct().limit(2).count() > 1:
+        raise ValueError("one problem at a time")
+
+
 def fit_predict(estimator: Estimator, vectors: DataFrame, known: DataFrame, unknown: DataFrame,
                 name: str) -> DataFrame:
     """Scores of any probabilistic classifier, fitted on the documents of one problem."""
+    one_problem(known)
     slots = candidate_slots(known)
     labels = known.select(*PAIR).join(slots, ["problem", "author"])
     cases = vectors.join(labels, DOC).withColumn("label", F.col("slot").cast("double"))
@@ -376,7 +389,9 @@ def boosted(rounds: int = 50, seed: int = 1) -> Estimator:
 
 def param_grid(vectors: DataFrame, known: DataFrame, costs: Sequence[float] = (0.01, 0.1, 1.0),
                folds: int = 3, max_iter: int = 50, seed: int = 1) -> DataFrame:
-    """(reg, f1): mean cross-validated F1 of one-vs-rest linear SVMs per regularisation."""
+    """(reg, f1): mean cross-validated F1 of one-vs-rest linear SVMs per regularisation,
+    for one problem."""
+    one_problem(known)
     labels = known.select(*PAIR).join(candidate_slots(known), ["problem", "author"])
     cases = vectors.join(labels, DOC).select("features", F.col("slot").cast("double").alias("label"))
     svm = LinearSVC(maxIter=max_iter)
@@ -390,10 +405,11 @@ def param_grid(vectors: DataFrame, known: DataFrame, costs: Sequence[float] = (0
 
 
 def svd_reduce(vectors: DataFrame, k: int, whiten: bool = False) -> DataFrame:
-    """(problem, doc_name, component, value, explained) of the k main components.
+    """(problem, doc_name, component, value, explained) of the k main components of one problem.
 
     ``whiten`` divides each component by its standard deviation.
     """
+    one_problem(vectors)
     model = PCA(k=k, inputCol="features", outputCol="reduced").fit(vectors)
     explained = F.array(*[F.lit(float(v)) for v in model.explainedVariance])
     parts = model.transform(vectors).select(

@@ -40,12 +40,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def _part_of_path(pattern: str) -> Column:
-    """A part of the quoted path; a plus sign in it is just a plus sign."""
-    part = F.regexp_extract("path", pattern, 1)
+def _unquoted(part: Column) -> Column:
+    """A quoted part of a path; a plus sign in it is just a plus sign."""
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
+def _part_of_path(pattern: str) -> Column:
+    return _unquoted(F.regexp_extract("path", pattern, 1))
+
+
 FOLDER = r"([^/]+)/[^/]+$"
 FILE = r"([^/]+)$"
 
@@ -135,9 +138,13 @@ def read_truth(spark: SparkSession, base: str) -> DataFrame:
 
 
 def parse_answers(files: DataFrame) -> DataFrame:
-    """(problem, doc_name, predicted_author, pos) from ``answers-<problem>.json`` files."""
+    """(problem, doc_name, predicted_author, pos) from ``answers-<problem>.json`` files, or
+    folders of that name as ``write_answers`` makes them."""
+    name = _part_of_path(r"answers-([^/]+)\.json(?:/[^/]+)?$")
+    # names of partition folders are quoted once more
+    written = F.regexp_like("path", F.lit(r"/file=answers-[^/]+/[^/]+$"))
     rows = files.select(
-        _part_of_path(r"answers-([^/]+)\.json$").alias("problem"),
+        F.when(written, _unquoted(name)).otherwise(name).alias("problem"),
         F.posexplode(F.from_json("value", _ANSWERS)).alias("pos", "a"),
     )
     return rows.select("problem", F.col("a.unknown-text").alias("doc_name"),
@@ -145,7 +152,7 @@ def parse_answers(files: DataFrame) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return parse_answers(whole_files(spark, f"{folder}/answers-*.json"))
+    return parse_answers(whole_files(spark, f"{folder}/{{file=,}}answers-*.json"))
 
 
 def first_answers(answers: DataFrame) -> DataFrame:

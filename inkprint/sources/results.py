@@ -16,12 +16,14 @@ def answer_stats(answers: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
-    """One folder of JSON lines per problem, written by many tasks."""
-    named = answers.select(
-        "problem", F.col("doc_name").alias("unknown-text"),
-        F.col("predicted_author").alias("predicted-author"),
+    """One JSON array per problem, in order of the document names, in a folder of the problem's own.
+    ``read_answers`` reads it back. A problem's answers are a few short strings per document."""
+    row = F.struct(
+        F.col("doc_name").alias("unknown-text"), F.col("predicted_author").alias("predicted-author")
     )
-    named.write.mode("overwrite").partitionBy("problem").json(path)
+    arrays = answers.groupBy("problem").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+    file = F.concat(F.lit("answers-"), F.col("problem"), F.lit(".json"))
+    arrays.select(file.alias("file"), "value").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def prototext(overall: DataFrame) -> DataFrame:

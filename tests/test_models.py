@@ -80,3 +80,27 @@ def test_imposters_on_a_separable_problem(spark):
     terms = I.sample_terms(V.vocab_top_k(C.known(d), 4, 500), settings)
     used = terms.select("problem", F.explode("its").alias("it")).groupBy("problem", "it").count()
     assert used.agg(F.max("count")).first()[0] == 250
+
+
+def test_stacking_keeps_problems_apart(spark):
+    scores = [(p, f"d{k}", m, a, (k * 7 + len(a) * 3 + len(m)) % 10 / 10 + 0.05 * (a == "ab"[k % 2]))
+              for p in ("p1", "p2") for k in range(12) for m in ("m1", "model2") for a in ("a", "b", "cc")[: 2 + (p == "p2")]]
+    frame = spark.createDataFrame(scores, "problem string, doc_name string, model string, author string, p double")
+    known = spark.createDataFrame(
+        [(p, f"d{k}", "ab"[k % 2] if p == "p1" or k % 3 else "cc") for p in ("p1", "p2") for k in range(12)],
+        "problem string, doc_name string, author string")
+
+    def result(*problems):
+        mine = F.col("problem").isin(*problems)
+        rows = M.stacking(frame.where(mine), frame.where(mine), known.where(mine)).where("problem = 'p1'").collect()
+        return {(r.doc_name, r.author): r.p for r in rows}
+
+    alone, both = result("p1"), result("p1", "p2")
+    assert len(alone) == 24 and alone.keys() == both.keys()
+    assert all(abs(alone[k] - both[k]) < 1e-6 for k in alone)
+
+
+def test_dense_classifiers_refuse_two_problems(spark):
+    known = spark.createDataFrame([("p1", "d", "a"), ("p2", "d", "a")], "problem string, doc_name string, author string")
+    with pytest.raises(ValueError):
+        M.fit_predict(M.random_forest(trees=2), known, known, known, "forest")

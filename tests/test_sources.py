@@ -52,8 +52,13 @@ def test_answers(spark, tmp_path):
     answers = S.first_answers(S.read_answers(spark, str(tmp_path)))
     assert [tuple(r) for r in answers.collect()] == [("p1", "u1", "a")]
     R.write_answers(answers, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).first()
-    assert (back["unknown-text"], back["predicted-author"], back["problem"]) == ("u1", "a", "p1")
+    more = spark.createDataFrame(
+        [("p 1+%", "u1", "a"), ("p 1+%", "u2", None), ("p2", "u1", "x\"y")],
+        "problem string, doc_name string, predicted_author string")
+    for rows in (answers, more):
+        R.write_answers(rows, str(tmp_path / "out"))
+        back = S.first_answers(S.read_answers(spark, str(tmp_path / "out")))
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
 
 
 def test_other_readers(spark, tmp_path):
