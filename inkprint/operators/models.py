@@ -1,17 +1,17 @@
-"""Linear models for all problems at once, and classifiers on small dense vectors.
+"""Linear models of many problems, and classifiers on small dense vectors.
 
-Many small fits are slow on a cluster, one large fit is not. Every (family, problem, split)
-gets its own block of feature numbers, so the loss of one large linear model is the sum of the
-losses of independent small ones; an explicit bias feature per block replaces the common
-intercept. The one-vs-rest tasks of the candidates share a fit as far as its size allows.
+The one-vs-rest tasks of a family and problem (a split and a candidate each) share their rows and the
+passes over them, but every task is solved by itself: a result never depends on what other problems
+are in the run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -29,14 +29,14 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.operators.common import DOC, fits_broadcast, join_dimension, ordinal, top_k
+from inkprint.operators import svm
+from inkprint.operators.common import DOC, join_dimension, ordinal
 from inkprint.operators.similarity import PAIR
 from inkprint.session import materialize
 
 FAMILY = ["family", "problem"]
-# How much one fit may hold: coefficients on the driver, matrix cells on the executors.
-MAX_COEFFICIENTS = 2_000_000
-MAX_CELLS = 100_000_000
+# Solver passes. The tolerance ends nearly all tasks before.
+SVM_ITERATIONS = 500
 
 
 def sparse_vector(size: int, index: Column, value: Column) -> Column:
@@ -87,52 +87,36 @@ def oof_roles(known: DataFrame, outer: int = 7, inner: int = 3) -> DataFrame:
 
 
 def _term_index(features: DataFrame, roles: DataFrame) -> DataFrame:
-    """(family, problem, term, base): term numbers, block after block, known terms only.
-
-    Numbering runs inside one family and problem, whose vocabulary is bounded by its
-    document-frequency limit; 0 in each block is the bias.
-    """
+    """(family, problem, term, place): numbers of the known terms of each family and problem, from
+    1; place 0 is the bias. Numbering runs in hashed buckets, not in one task per problem."""
     trained = roles.where("role <> 'test'").select(*DOC).distinct()
     terms = features.join(trained, DOC, "left_semi").select(*FAMILY, "term").distinct()
-    order = Window.partitionBy(*FAMILY).orderBy("term")
-    ranked = terms.withColumn("_r", F.row_number().over(order))
-    sizes = ranked.groupBy(*FAMILY).agg((F.count("*") + 1).alias("_size"))
-    before = Window.orderBy(*FAMILY).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    return ranked.join(offsets, FAMILY).select(
-        *FAMILY, "term", (F.col("_offset") + F.col("_r")).alias("base"),
-        F.col("_offset").alias("bias"), "_size",
-    )
+    return ordinal(terms, FAMILY, "term", "_r").select(*FAMILY, "term", (F.col("_r") + 1).alias("place"))
 
 
-def block_rows(features: DataFrame, labels: DataFrame, roles: DataFrame) -> tuple[DataFrame, int]:
-    """(family, problem, doc_name, split, role, slot, places, values) and the number of places.
+def block_rows(features: DataFrame, labels: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (family, problem, doc_name, slot, cases, places, values), one per family and document, and
+    the sizes (family, problem, size) of the blocks.
 
-    One sparse row per document, family and split, in that block's feature numbers. Documents
-    without a known term keep their bias.
+    ``cases`` lists the (split, role) of the document. Documents without a known term keep their bias.
     """
     index = materialize(_term_index(features, roles))
-    biases = index.groupBy(*FAMILY).agg(F.max("bias").alias("bias"))
-    total = index.groupBy(*FAMILY).agg(F.max("_size").alias("s")).agg(F.sum("s")).first()[0]
-    splits = roles.agg(F.max("split")).first()[0] + 1
-    numbered = join_dimension(
-        features, index.select(*FAMILY, "term", "base"), [*FAMILY, "term"], DOC, materialized=True
-    )
+    sizes = materialize(index.groupBy(*FAMILY).agg((F.count("*") + 1).alias("size")))
+    numbered = join_dimension(features, index, [*FAMILY, "term"], DOC, materialized=True)
     cells = numbered.groupBy(*FAMILY, "doc_name").agg(
-        F.array_sort(F.collect_list(F.struct("base", "value"))).alias("_cells")
+        F.array_sort(F.collect_list(F.struct("place", "value"))).alias("_cells")
     )
-    cases = join_dimension(roles, biases, ["problem"], ["doc_name"]).join(
+    cases = roles.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("split", "role"))).alias("cases"))
+    joined = join_dimension(cases, sizes.drop("size"), ["problem"], ["doc_name"], materialized=True).join(
         cells, [*FAMILY, "doc_name"], "left"
     ).join(labels, DOC, "left")
-    shift = F.col("split") * F.lit(total)
-    bases = F.coalesce(F.col("_cells.base"), F.array().cast("array<bigint>"))
-    places = F.transform(F.concat(F.array("bias"), bases), lambda b: b + shift)
-    known_values = F.coalesce(F.col("_cells.value"), F.array().cast("array<double>"))
-    rows = cases.select(
-        *FAMILY, "doc_name", "split", "role", "slot", places.alias("places"),
-        F.concat(F.array(F.lit(1.0)), known_values).alias("values"),
-    )
-    return rows, int(total * splits)
+    places = F.coalesce(F.col("_cells.place"), F.array().cast("array<bigint>"))
+    values = F.coalesce(F.col("_cells.value"), F.array().cast("array<double>"))
+    return joined.select(
+        *FAMILY, "doc_name", "slot", "cases",
+        F.concat(F.array(F.lit(0).cast("bigint")), places).alias("places"),
+        F.concat(F.array(F.lit(1.0)), values).alias("values"),
+    ), sizes
 
 
 def candidate_slots(known: DataFrame) -> DataFrame:
@@ -143,79 +127,81 @@ def candidate_slots(known: DataFrame) -> DataFrame:
 
 
 def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: float = 1.0,
-                max_iter: int = 50, parallelism: int = 4) -> DataFrame:
+                max_iter: int = SVM_ITERATIONS) -> DataFrame:
     """(family, problem, doc_name, split, role, author, margin, hit) of one-vs-rest linear SVMs.
 
-    Classes are balanced inside each binary task. The penalty is that of the sum of losses:
-    the weights of a task add up to its rows, so 1 / (c * rows) turns the mean into the sum.
+    Squared hinge loss, penalised bias, classes balanced inside each binary task. Needs two candidates
+    with training documents; a problem without them gets no rows.
     """
     slots = materialize(candidate_slots(known))
     labels = known.select(*PAIR).join(slots, ["problem", "author"]).select(*DOC, "slot")
-    rows, places = block_rows(features, labels, roles)
-    rows = rows.persist()
-    blocks = [*FAMILY, "split"]
-    sizes = rows.where("role = 'train'").groupBy(*blocks, "slot").agg(F.count("*").alias("n_hit"))
-    total = F.sum("n_hit").over(Window.partitionBy(*blocks))
-    # One row per model: its block, its candidate, positive rows and all rows.
-    weights = materialize(
-        sizes.withColumn("n_all", total).where("n_hit < n_all").withColumnRenamed("slot", "task")
+    rows, sizes = block_rows(features, labels, roles)
+    # Documents of a block stand together, so that a piece of rows belongs to one block.
+    rows = materialize(rows.repartitionByRange(*FAMILY, "doc_name").sortWithinPartitions(*FAMILY, "doc_name"))
+    trained = roles.where("role = 'train'").join(labels, DOC).groupBy("problem", "split", "slot").agg(
+        F.count("*").alias("n_hit"))
+    total = F.sum("n_hit").over(Window.partitionBy("problem", "split"))
+    tasks = trained.withColumn("n_all", total).where("n_hit < n_all").groupBy("problem").agg(
+        F.array_sort(F.collect_list(F.struct("split", "slot", "n_hit", "n_all"))).alias("tasks"))
+    # One row per family and problem: its size and its tasks (splits x candidates).
+    found = sizes.join(tasks, "problem").orderBy(*FAMILY).collect()
+    numbers = margins_numbers(features, found)
+    rows = join_dimension(rows, numbers, FAMILY, ["doc_name"])
+    in_training = F.transform(F.filter("cases", lambda x: x["role"] == "train"), lambda x: x["split"])
+    n_splits = max((t["split"] + 1 for row in found for t in row["tasks"]), default=1)
+    pieces = materialize(svm.pack_rows(rows.withColumn("train", in_training), n_splits))
+    scored = rows.select(
+        "block", F.col("doc_name").alias("id"), "slot", "places", "values", F.inline("cases")
+    ).where("role <> 'train'")
+    done = []
+    for packed in fit_groups(found):
+        svm.solve(pieces, packed, c, max_iter)
+        done.append(materialize(svm.margins(scored, packed)))
+        for block in packed:
+            del block.state
+    if not done:
+        raise ValueError("no problem has two candidates with known documents")
+    named = join_dimension(reduce(DataFrame.unionByName, done), numbers, ["block"], ["id"]).withColumnRenamed(
+        "id", "doc_name")
+    authors = join_dimension(
+        named, slots.withColumnRenamed("slot", "task"), ["problem", "task"], ["doc_name"], materialized=True)
+    return materialize(authors.select(
+        *FAMILY, "doc_name", "split", "role", "author", "margin", "hit"))
+
+
+def margins_numbers(features: DataFrame, found: Sequence) -> DataFrame:
+    """(family, problem, block): a number for every block that has tasks."""
+    return features.sparkSession.createDataFrame(
+        [(row["family"], row["problem"], k) for k, row in enumerate(found)],
+        "family string, problem string, block int",
     )
-    small = fits_broadcast(weights)
-    rows_per_task = {
-        r["task"]: r["n"] for r in weights.groupBy("task").agg(F.sum("n_all").alias("n")).collect()
-    }
-    cells = rows.agg(F.sum(F.size("places"))).first()[0]
-    together = max(1, min(MAX_COEFFICIENTS // places, MAX_CELLS // cells))
-    cases_held = rows
-    if together == 1:  # every fit uses the same vectors
-        vector = sparse_vector(places, F.col("places"), F.col("values"))
-        cases_held = rows.withColumn("features", vector).drop("places", "values").persist()
-    train, scored = cases_held.where("role = 'train'"), cases_held.where("role <> 'train'")
-
-    def with_tasks(cases: DataFrame, group: list[int]) -> DataFrame:
-        mine = weights.where(F.col("task").isin(group))
-        joined = cases.join(F.broadcast(mine) if small else mine, blocks).withColumn(
-            "hit", F.when(F.col("slot") == F.col("task"), 1.0).otherwise(0.0)
-        )
-        if together == 1:
-            return joined
-        # Tasks fitted together stand in blocks of their own as well.
-        place = F.array_position(F.array(*[F.lit(t) for t in group]), F.col("task")) - 1
-        shifted = F.transform("places", lambda p: p + place * places)
-        vector = sparse_vector(places * len(group), shifted, F.col("values"))
-        return joined.withColumn("features", vector)
-
-    def margins_of(group: list[int]) -> DataFrame:
-        size = F.when(F.col("hit") > 0, F.col("n_hit")).otherwise(F.col("n_all") - F.col("n_hit"))
-        cases = with_tasks(train, group).select(
-            "features", F.col("hit").alias("label"), (F.col("n_all") / (2.0 * size)).alias("weight")
-        )
-        svm = LinearSVC(
-            maxIter=max_iter, regParam=1.0 / (c * sum(rows_per_task[t] for t in group)),
-            fitIntercept=False, standardization=False, weightCol="weight", tol=1e-5,
-        )
-        return svm.fit(cases).transform(with_tasks(scored, group)).select(
-            *FAMILY, "doc_name", "split", "role", "task",
-            vector_to_array("rawPrediction")[1].alias("margin"),
-            F.when(F.col("role") == "calibrate", F.col("hit")).alias("hit"),
-        )
 
-    tasks = sorted(rows_per_task)
-    groups = [tasks[i:i + together] for i in range(0, len(tasks), together)]
-    # The fits are independent jobs; a few at a time keep the executors busy.
-    with ThreadPool(parallelism) as pool:
-        parts = pool.map(margins_of, groups)
-    named = reduce(DataFrame.unionByName, parts).join(
-        slots.withColumnRenamed("slot", "task"), ["problem", "task"]
-    )
-    margins = materialize(named.drop("task"))
-    cases_held.unpersist()
-    rows.unpersist()
-    return margins
+
+def fit_groups(found: Sequence) -> Iterator[list[svm.Block]]:
+    """Tasks whose coefficients are held together, at most ``svm.MAX_COEFFICIENTS`` or one task."""
+    packed, room = [], svm.MAX_COEFFICIENTS
+    for number, row in enumerate(found):
+        if row["size"] > svm.MAX_TERMS:
+            raise ValueError(f"{row['size']} terms in {row['family']}, {row['problem']}: select fewer")
+        left = row["tasks"]
+        while left:
+            take = room // row["size"]
+            if take < 1 and packed or packed and packed[-1].number == number:
+                yield packed
+                packed, room = [], svm.MAX_COEFFICIENTS
+                continue
+            now, left = left[:max(1, take)], left[max(1, take):]
+            hits, total = (np.array([t[n] for t in now], dtype=float) for n in ("n_hit", "n_all"))
+            packed.append(svm.Block(
+                number, row["size"], np.array([t["split"] for t in now]), np.array([t["slot"] for t in now]),
+                total / (2 * hits), total / (2 * (total - hits))))
+            room -= row["size"] * len(now)
+    if packed:
+        yield packed
 
 
 def svm_ovr(features: DataFrame, known: DataFrame, unknown: DataFrame, c: float = 1.0,
-            max_iter: int = 50) -> DataFrame:
+            max_iter: int = SVM_ITERATIONS) -> DataFrame:
     """(family, problem, doc_name, author, margin) for the unknown documents."""
     margins = svm_margins(features, known, plain_roles(known, unknown), c, max_iter)
     return margins.select(*FAMILY, "doc_name", "author", "margin")
@@ -227,37 +213,51 @@ def svm_ovr(features: DataFrame, known: DataFrame, unknown: DataFrame, c: float
 def platt_scale(margins: DataFrame, max_iter: int = 100) -> DataFrame:
     """(family, problem, author, split, slope, offset): p = 1 / (1 + exp(-(slope*margin + offset))).
 
-    All sigmoids are one logistic regression with two features per (family, problem, author,
-    split). Soft targets (n+ + 1)/(n+ + 2) and 1/(n- + 2) are pairs of weighted rows.
+    Targets are (n+ + 1)/(n+ + 2) and 1/(n- + 2). Every (family, problem, author, split) takes its
+    own damped Newton steps; a step is six grouped sums, so neither margins nor sigmoids are
+    gathered. A group whose loss rises goes half the way back.
     """
     key = [*FAMILY, "author", "split"]
-    training = margins.where("role = 'calibrate'")
-    groups = training.groupBy(*key).agg(
+    training = margins.where("role = 'calibrate'").select(*key, "doc_name", "margin", "hit")
+    counts = training.groupBy(*key).agg(
         F.sum("hit").alias("pos"), (F.count("*") - F.sum("hit")).alias("neg")
     )
-    numbered = materialize(groups.withColumn("g", F.row_number().over(Window.orderBy(*key)) - 1))
-    n_groups = numbered.count()
-    joined = join_dimension(training, numbered, key, ["doc_name"], materialized=True)
-    target = F.when(F.col("hit") > 0, (F.col("pos") + 1) / (F.col("pos") + 2)).otherwise(
-        F.lit(1.0) / (F.col("neg") + 2)
-    )
-    vector = sparse_vector(
-        2 * n_groups, F.array(F.col("g") * 2, F.col("g") * 2 + 1), F.array(F.col("margin"), F.lit(1.0))
-    )
-    cases = joined.select(vector.alias("features"), F.inline(F.array(
-        F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - target).alias("weight")),
-    )))
-    model = LogisticRegression(
-        maxIter=max_iter, regParam=0.0, fitIntercept=False, weightCol="weight", tol=1e-8
-    ).fit(cases)
-    coefficients = [float(x) for x in model.coefficients.toArray()]
-    spark = margins.sparkSession
-    table = spark.createDataFrame(
-        [(g, coefficients[2 * g], coefficients[2 * g + 1]) for g in range(n_groups)],
-        "g int, slope double, offset double",
-    )
-    return numbered.join(table, "g").select(*key, "slope", "offset")
+    zero = F.lit(0.0)
+    # a, b: best point with its loss; da, db: the step tried from there
+    state = materialize(counts.select(
+        *key, "pos", "neg", zero.alias("a"), zero.alias("b"), F.lit(float("inf")).alias("loss"), zero.alias("da"),
+        F.log((F.col("pos") + 1) / (F.col("neg") + 1)).alias("db"),
+    ))
+    for _ in range(max_iter):
+        joined = join_dimension(training, state, key, ["doc_name"], materialized=True)
+        target = F.when(F.col("hit") > 0, (F.col("pos") + 1) / (F.col("pos") + 2)).otherwise(
+            F.lit(1.0) / (F.col("neg") + 2)
+        )
+        f = (F.col("a") + F.col("da")) * F.col("margin") + F.col("b") + F.col("db")
+        q = F.lit(1.0) / (F.lit(1.0) + F.exp(-f))
+        sums = joined.withColumn("f", f).withColumn("e", q - target).withColumn("w", q * (F.lit(1.0) - q)).withColumn(
+            "l", F.greatest("f", zero) + F.log1p(F.exp(-F.abs("f"))) - target * F.col("f")
+        ).groupBy(*key).agg(
+            F.sum("l").alias("now"), F.sum(F.col("e") * F.col("margin")).alias("ga"), F.sum("e").alias("gb"),
+            (F.sum(F.col("w") * F.col("margin") * F.col("margin")) + 1e-12).alias("haa"),
+            F.sum(F.col("w") * F.col("margin")).alias("hab"), (F.sum("w") + 1e-12).alias("hbb"),
+        )
+        better = F.col("now") <= F.col("loss")
+        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
+        step_a = (F.col("hab") * F.col("gb") - F.col("hbb") * F.col("ga")) / det
+        step_b = (F.col("hab") * F.col("ga") - F.col("haa") * F.col("gb")) / det
+        state = materialize(state.join(sums, key).select(
+            *key, "pos", "neg",
+            F.when(better, F.col("a") + F.col("da")).otherwise(F.col("a")).alias("a"),
+            F.when(better, F.col("b") + F.col("db")).otherwise(F.col("b")).alias("b"),
+            F.least("now", "loss").alias("loss"),
+            F.when(better, step_a).otherwise(F.col("da") / 2).alias("da"),
+            F.when(better, step_b).otherwise(F.col("db") / 2).alias("db"),
+        ))
+        far = F.abs("da") + F.abs("db") > 1e-9 * (1 + F.abs("a") + F.abs("b"))
+        if state.where(far).isEmpty():
+            break
+    return state.select(*key, F.col("a").alias("slope"), F.col("b").alias("offset"))
 
 
 def calibrated_scores(margins: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def calibrated_scores(margins: DataFrame) -> DataFrame:
 
 
 def multi_fit_predict(features: DataFrame, known: DataFrame, unknown: DataFrame, folds: int = 3,
-                      c: float = 1.0, max_iter: int = 50) -> DataFrame:
+                      c: float = 1.0, max_iter: int = SVM_ITERATIONS) -> DataFrame:
     """Scores of one calibrated classifier per feature family for the unknown documents."""
     roles = materialize(calibration_roles(known, unknown, folds))
     return calibrated_scores(svm_margins(features, known, roles, c, max_iter))
@@ -288,7 +288,7 @@ def single_fit_predict(features: DataFrame, known: DataFrame, unknown: DataFrame
 
 
 def oof_predict(features: DataFrame, known: DataFrame, outer: int = 7, inner: int = 3,
-                c: float = 1.0, max_iter: int = 50) -> DataFrame:
+                c: float = 1.0, max_iter: int = SVM_ITERATIONS) -> DataFrame:
     """Out-of-fold scores of the known documents."""
     roles = materialize(oof_roles(known, outer, inner))
     return calibrated_scores(svm_margins(features, known, roles, c, max_iter))
@@ -336,17 +336,17 @@ def stacking(train_scores: DataFrame, test_scores: DataFrame, known: DataFrame,
 # -- classifiers on small dense vectors --------------------------------------------------
 
 
-def top_term_vectors(features: DataFrame, known: DataFrame, k: int = 200) -> DataFrame:
-    """(problem, doc_name, features): the k terms found in most known documents of a problem."""
-    df = features.join(known.select(*DOC), DOC, "left_semi").groupBy("problem", "term").agg(
-        F.count("*").alias("df")
-    )
-    best = top_k(df, ["problem"], [F.desc("df"), F.asc("term")], k, ["term"], "rank")
-    kept = join_dimension(features, best.select("problem", "term", "rank"), ["problem", "term"], DOC)
-    cells = F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), "value")))
-    return kept.groupBy(*DOC).agg(cells.alias("c")).select(
-        *DOC, sparse_vector(k, F.col("c.i"), F.col("c.value")).alias("features")
-    )
+def term_vectors(features: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (problem, doc_name, features) over all terms of the known documents of one problem, and
+    their number."""
+    one_problem(known)
+    terms = features.join(known.select(*DOC), DOC, "left_semi").select("problem", "term").distinct()
+    index = materialize(ordinal(terms, ["problem"], "term", "i"))
+    size = index.count()
+    kept = join_dimension(features, index, ["problem", "term"], DOC, materialized=True)
+    cells = F.array_sort(F.collect_list(F.struct("i", "value")))
+    rows = kept.groupBy(*DOC).agg(cells.alias("c"))
+    return rows.select(*DOC, sparse_vector(size, F.col("c.i"), F.col("c.value")).alias("features")), size
 
 
 def one_problem(df: DataFrame) -> None:
@@ -388,7 +388,7 @@ def boosted(rounds: int = 50, seed: int = 1) -> Estimator:
 
 
 def param_grid(vectors: DataFrame, known: DataFrame, costs: Sequence[float] = (0.01, 0.1, 1.0),
-               folds: int = 3, max_iter: int = 50, seed: int = 1) -> DataFrame:
+               folds: int = 3, max_iter: int = 100, seed: int = 1) -> DataFrame:
     """(reg, f1): mean cross-validated F1 of one-vs-rest linear SVMs per regularisation,
     for one problem."""
     one_problem(known)

@@ -80,7 +80,7 @@ def scaled(features: DataFrame, known: DataFrame) -> DataFrame:
 
 def attribute(docs: DataFrame, stems: DataFrame | None = None, tags: DataFrame | None = None,
               weights: Mapping[str, float] | None = None, pt: float = 0.1, half: float = 0.07,
-              c: float = 1.0, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+              c: float = 1.0, max_iter: int = M.SVM_ITERATIONS) -> tuple[DataFrame, DataFrame]:
     """(answers, scores) of the whole ensemble for the unknown documents."""
     known, unknown = docs.where("split = 'known'"), docs.where("split = 'unknown'")
     features = materialize(feature_recipe(docs, stems, tags))
@@ -91,7 +91,7 @@ def attribute(docs: DataFrame, stems: DataFrame | None = None, tags: DataFrame |
 
 
 def attribute_by_counts(known: DataFrame, unknown: DataFrame, n: int = 3, ft: int = 5,
-                        pt: float = 0.1, max_iter: int = 50) -> DataFrame:
+                        pt: float = 0.1, max_iter: int = M.SVM_ITERATIONS) -> DataFrame:
     """Baseline: relative n-gram counts, scaled, calibrated linear SVM, simple reject rule."""
     vocab = V.vocab_min_count(known, n, ft)
     docs = known.unionByName(unknown)

@@ -20,8 +20,6 @@ from inkprint.session import materialize
 QUERIES: dict[str, C.Query] = {}
 ORACLES: dict[str, str] = {}
 
-ITERATIONS = 20
-
 
 def _features(d, family="char2", low=2, high=2):
     fitted = V.fit_tfidf(C.known(d), V.chars(low, high), 0.12).transform(d)
@@ -35,31 +33,31 @@ def _parts(spark, sf):
 
 def svm_ovr(spark, sf):
     d, known, unknown = _parts(spark, sf)
-    return rounded(M.svm_ovr(_features(d), known, unknown, max_iter=ITERATIONS), "margin", digits=4)
+    return rounded(M.svm_ovr(_features(d), known, unknown), "margin", digits=4)
 
 
 def calibrate_sigmoid(spark, sf):
     d, known, unknown = _parts(spark, sf)
     roles = materialize(M.calibration_roles(known, unknown))
-    return rounded(M.platt_scale(M.svm_margins(_features(d), known, roles, max_iter=ITERATIONS)),
+    return rounded(M.platt_scale(M.svm_margins(_features(d), known, roles)),
                    "slope", "offset", digits=4)
 
 
 def multi_fit_predict(spark, sf):
     d, known, unknown = _parts(spark, sf)
     features = _features(d).unionByName(_features(d, "char1", 1, 1))
-    return rounded(M.multi_fit_predict(features, known, unknown, max_iter=ITERATIONS), "p", digits=4)
+    return rounded(M.multi_fit_predict(features, known, unknown), "p", digits=4)
 
 
 def single_fit_predict(spark, sf):
     d, known, unknown = _parts(spark, sf)
-    return rounded(M.single_fit_predict(_features(d), known, unknown, "char2", max_iter=ITERATIONS),
+    return rounded(M.single_fit_predict(_features(d), known, unknown, "char2"),
                    "p", digits=4)
 
 
 def svm_baseline(spark, sf):
     _, known, unknown = _parts(spark, sf)
-    return ensemble.attribute_by_counts(known, unknown, max_iter=ITERATIONS).select(
+    return ensemble.attribute_by_counts(known, unknown).select(
         "problem", "doc_name", "predicted_author")
 
 
@@ -119,7 +117,7 @@ FROM everything GROUP BY family, problem""")
 
 def main_ensemble(spark, sf):
     d = _languages(used(spark, sf))
-    answers, _ = ensemble.attribute(d, stems(d), tags(d), max_iter=ITERATIONS)
+    answers, _ = ensemble.attribute(d, stems(d), tags(d))
     gold = C.unknown(d).select("problem", "doc_name", "true_author")
     return rounded(E.macro_prf(E.align(gold, answers)),
                    "macro_f1", "macro_precision", "macro_recall", digits=4)
@@ -127,41 +125,43 @@ def main_ensemble(spark, sf):
 
 def oof_predict(spark, sf):
     d, known, _ = _parts(spark, sf)
-    return rounded(M.oof_predict(_features(d), known, outer=3, max_iter=ITERATIONS), "p", digits=4)
+    return rounded(M.oof_predict(_features(d), known), "p", digits=4)
 
 
 def stacking(spark, sf):
     d, known, unknown = _parts(spark, sf)
     features = _features(d)
-    train = materialize(M.oof_predict(features, known, outer=3, max_iter=ITERATIONS))
-    test = M.multi_fit_predict(features, known, unknown, max_iter=ITERATIONS)
+    train = materialize(M.oof_predict(features, known))
+    test = M.multi_fit_predict(features, known, unknown)
     return rounded(M.stacking(train, test, known), "p", digits=4)
 
 
 def _one_problem(spark, sf):
-    """A separable target for classifiers on dense vectors: the language of a document."""
+    """A separable target for classifiers on vectors: the language of a document."""
     d = C.docs(spark, sf).withColumn("author", F.col("language")).withColumn(
         "problem", F.lit("language"))
     known, unknown = d.where("split = 'known'"), C.unknown(d)
     features = V.fit_tfidf(known, V.chars(1, 2), 0.12).transform(d)
-    return materialize(M.top_term_vectors(features, known, 100)), known, unknown
+    vectors, size = M.term_vectors(features, known)
+    return materialize(vectors), known, unknown, size
 
 
 def _dense(estimator, name):
     def run(spark, sf):
-        scores = M.fit_predict(estimator(), *_one_problem(spark, sf), name)
+        vectors, known, unknown, size = _one_problem(spark, sf)
+        scores = M.fit_predict(estimator(size), vectors, known, unknown, name)
         return rounded(scores, "p", digits=4)
 
     return run
 
 
 def param_grid(spark, sf):
-    vectors, known, _ = _one_problem(spark, sf)
-    return rounded(M.param_grid(vectors, known, (0.01, 1.0), max_iter=10), "f1", digits=4)
+    vectors, known, _, _ = _one_problem(spark, sf)
+    return rounded(M.param_grid(vectors, known), "f1", digits=4)
 
 
 def svd_reduce(spark, sf):
-    vectors, _, _ = _one_problem(spark, sf)
+    vectors, _, _, _ = _one_problem(spark, sf)
     reduced = M.svd_reduce(vectors, 5, whiten=True)
     # The sign of a component is arbitrary.
     return reduced.select("problem", "doc_name", "component", F.round(F.abs("value"), 4).alias("value"),
@@ -171,6 +171,6 @@ def svd_reduce(spark, sf):
 for query in (svm_ovr, calibrate_sigmoid, multi_fit_predict, single_fit_predict, svm_baseline,
               feature_recipe, main_ensemble, oof_predict, stacking, param_grid, svd_reduce):
     QUERIES[query.__name__] = query
-QUERIES["mlp"] = _dense(lambda: M.mlp(100, 4, max_iter=50), "mlp")
-QUERIES["random_forest"] = _dense(lambda: M.random_forest(50), "random_forest")
-QUERIES["boosted"] = _dense(lambda: M.boosted(5), "boosted")
+QUERIES["mlp"] = _dense(lambda size: M.mlp(size, 4), "mlp")
+QUERIES["random_forest"] = _dense(lambda size: M.random_forest(), "random_forest")
+QUERIES["boosted"] = _dense(lambda size: M.boosted(), "boosted")

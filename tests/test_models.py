@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,24 +32,75 @@ def accuracy(scores, unknown):
 
 def test_calibrated_svm(spark, languages):
     features, known, unknown = languages
-    scores = M.materialize(M.multi_fit_predict(features, known, unknown, max_iter=20).drop("model"))
+    scores = M.materialize(M.multi_fit_predict(features, known, unknown).drop("model"))
     sums_to_one(scores, *V.DOC)
     assert scores.select(*V.DOC).distinct().count() == unknown.count()
     assert accuracy(scores, unknown) > 0.9
 
 
-def test_tasks_fitted_together_or_apart(spark, languages, monkeypatch):
-    features, known, unknown = languages
-    together = M.svm_ovr(features, known, unknown, max_iter=50)
-    monkeypatch.setattr(M, "MAX_CELLS", 1)
-    apart = M.svm_ovr(features, known, unknown, max_iter=50)
-    key = ["doc_name", "author"]
-    both = together.select(*key, F.col("margin").alias("a")).join(apart.select(*key, "margin"), key)
-    # The hinge loss has kinks, so two runs of the solver agree closely but not to the last digit.
-    gap = F.abs(F.col("a") - F.col("margin"))
-    row = both.agg(F.avg(gap).alias("mean"), F.corr("a", "margin").alias("corr")).first()
-    assert row["mean"] < 0.05 and row["corr"] > 0.999
-    assert both.count() == unknown.count() * 4
+def by_key(margins):
+    return {(r.problem, r.doc_name, r.author): r.margin for r in margins.collect()}
+
+
+def small_problems(spark, names):
+    rng = np.random.default_rng(3)
+    values = {(p, d, t): float(rng.random()) for p in ("p1", "p2") for d in range(14) for t in range(6) if rng.random() < 0.7}
+    features = spark.createDataFrame(
+        [("f", p, f"d{d}", f"t{t}", v) for (p, d, t), v in values.items() if p in names],
+        "family string, problem string, doc_name string, term string, value double")
+    docs = [(p, f"d{d}", "abc"[d % (3 if p == "p1" else 2)], d < 10) for p in names for d in range(14)]
+    frame = spark.createDataFrame(docs, "problem string, doc_name string, author string, known boolean")
+    return values, features, frame.where("known").drop("known"), frame.where("NOT known").drop("known")
+
+
+def test_svm_solves_its_problem_alone(spark, monkeypatch):
+    """Margins are those of the minimum, with or without other problems, packed or apart."""
+    values, *one = small_problems(spark, ["p1"])
+    alone = by_key(M.svm_ovr(*one))
+    assert len(alone) == 4 * 3
+    x = np.array([[1.0] + [values.get(("p1", d, t), 0.0) for t in range(6)] for d in range(14)])
+    for k, author in enumerate("abc"):
+        y = np.where(np.arange(10) % 3 == k, 1.0, -1.0)
+        weight = np.where(y > 0, 10 / (2 * (y > 0).sum()), 10 / (2 * (y < 0).sum()))
+        w = np.zeros(7)
+        for _ in range(200_000):
+            pull = weight * y * np.maximum(0, 1 - y * (x[:10] @ w))
+            w -= 0.002 * (w - 2 * x[:10].T @ pull)
+        for d in range(10, 14):
+            assert abs(alone["p1", f"d{d}", author] - x[d] @ w) < 1e-5
+    _, *two = small_problems(spark, ["p1", "p2"])
+    both = by_key(M.svm_ovr(*two))
+    monkeypatch.setattr(M.svm, "MAX_COEFFICIENTS", 15)
+    monkeypatch.setattr(M.svm, "CHUNK", 4)
+    monkeypatch.setattr(M.svm, "PIECE", 20)
+    apart = by_key(M.svm_ovr(*two))
+    assert both.keys() == apart.keys() and alone.keys() < both.keys()
+    assert all(abs(alone[k] - both[k]) < 1e-6 for k in alone)
+    assert all(abs(apart[k] - both[k]) < 1e-6 for k in both)
+
+
+def test_many_problems_keep_within_the_bound():
+    tasks = [{"split": s, "slot": a, "n_hit": 2, "n_all": 6} for s in range(3) for a in range(3)]
+    found = [{"family": "f", "problem": str(k), "size": 20_000, "tasks": tasks} for k in range(200)]
+    packs = list(M.fit_groups(found))
+    assert max(sum(b.size * len(b.split) for b in p) for p in packs) <= M.svm.MAX_COEFFICIENTS
+    solved = [(b.number, s, a) for p in packs for b in p for s, a in zip(b.split, b.slot)]
+    assert len(solved) == len(set(solved)) == 1800
+    with pytest.raises(ValueError):
+        list(M.fit_groups([{"family": "f", "problem": "p", "size": M.svm.MAX_TERMS + 1, "tasks": tasks}]))
+
+
+def test_sigmoids_reach_the_minimum(spark):
+    rng = np.random.default_rng(5)
+    rows = [(a, f"d{k}", m, float(m + rng.normal() * (a == "a") > 0)) for a in "ab" for k, m in enumerate(rng.normal(size=30).tolist())]
+    margins = spark.createDataFrame(rows, "author string, doc_name string, margin double, hit double").selectExpr(
+        "'f' AS family", "'p' AS problem", "author", "0 AS split", "'calibrate' AS role", "doc_name", "margin", "hit")
+    fitted = {r.author: (r.slope, r.offset) for r in M.platt_scale(margins).collect()}
+    for author, (slope, offset) in fitted.items():
+        m, hit = (np.array([r[k] for r in rows if r[0] == author]) for k in (2, 3))
+        target = np.where(hit > 0, (hit.sum() + 1) / (hit.sum() + 2), 1 / (len(hit) - hit.sum() + 2))
+        error = 1 / (1 + np.exp(-(slope * m + offset))) - target
+        assert abs(error.sum()) < 1e-6 and abs((error * m).sum()) < 1e-6
 
 
 def test_roles(spark, languages):
@@ -63,8 +115,9 @@ def test_roles(spark, languages):
 
 def test_dense_classifiers(spark, languages):
     features, known, unknown = languages
-    vectors = M.materialize(M.top_term_vectors(features, known, 50))
-    for name, estimator in (("forest", M.random_forest(20, 4)), ("mlp", M.mlp(50, 4, 20, 50))):
+    vectors, size = M.term_vectors(features, known)
+    vectors = M.materialize(vectors)
+    for name, estimator in (("forest", M.random_forest(20, 4)), ("mlp", M.mlp(size, 4, 20, 50))):
         scores = M.fit_predict(estimator, vectors, known, unknown, name).drop("model")
         sums_to_one(scores, *V.DOC)
         assert accuracy(scores, unknown) > 0.8
