@@ -15,28 +15,29 @@ import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.operators import svm
 from inkprint.operators.common import DOC, join_dimension, ordinal
+from inkprint.operators.evaluate import class_report
 from inkprint.operators.similarity import PAIR
 from inkprint.session import materialize
 
 FAMILY = ["family", "problem"]
 # Solver passes. The tolerance ends nearly all tasks before.
 SVM_ITERATIONS = 500
+# The costs and the number of folds of the published grid.
+COSTS = (0.0001, 0.001, 0.01, 0.5, 1.0, 5.0, 10.0, 20.0)
+GRID_FOLDS = 5
 
 
 def sparse_vector(size: int, index: Column, value: Column) -> Column:
@@ -237,7 +238,7 @@ def platt_scale(margins: DataFrame, max_iter: int = 100) -> DataFrame:
         q = F.lit(1.0) / (F.lit(1.0) + F.exp(-f))
         sums = joined.withColumn("f", f).withColumn("e", q - target).withColumn("w", q * (F.lit(1.0) - q)).withColumn(
             "l", F.greatest("f", zero) + F.log1p(F.exp(-F.abs("f"))) - target * F.col("f")
-        ).groupBy(*key).agg(
+        ).groupBy(*state.columns).agg(  # the state goes along with its key
             F.sum("l").alias("now"), F.sum(F.col("e") * F.col("margin")).alias("ga"), F.sum("e").alias("gb"),
             (F.sum(F.col("w") * F.col("margin") * F.col("margin")) + 1e-12).alias("haa"),
             F.sum(F.col("w") * F.col("margin")).alias("hab"), (F.sum("w") + 1e-12).alias("hbb"),
@@ -246,7 +247,7 @@ def platt_scale(margins: DataFrame, max_iter: int = 100) -> DataFrame:
         det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
         step_a = (F.col("hab") * F.col("gb") - F.col("hbb") * F.col("ga")) / det
         step_b = (F.col("hab") * F.col("ga") - F.col("haa") * F.col("gb")) / det
-        state = materialize(state.join(sums, key).select(
+        state = materialize(sums.select(
             *key, "pos", "neg",
             F.when(better, F.col("a") + F.col("da")).otherwise(F.col("a")).alias("a"),
             F.when(better, F.col("b") + F.col("db")).otherwise(F.col("b")).alias("b"),
@@ -254,7 +255,7 @@ def platt_scale(margins: DataFrame, max_iter: int = 100) -> DataFrame:
             F.when(better, step_a).otherwise(F.col("da") / 2).alias("da"),
             F.when(better, step_b).otherwise(F.col("db") / 2).alias("db"),
         ))
-        far = F.abs("da") + F.abs("db") > 1e-9 * (1 + F.abs("a") + F.abs("b"))
+        far = F.abs("da") + F.abs("db") > 1e-8 * (1 + F.abs("a") + F.abs("b"))
         if state.where(far).isEmpty():
             break
     return state.select(*key, F.col("a").alias("slope"), F.col("b").alias("offset"))
@@ -387,21 +388,25 @@ def boosted(rounds: int = 50, seed: int = 1) -> Estimator:
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=seed))
 
 
-def param_grid(vectors: DataFrame, known: DataFrame, costs: Sequence[float] = (0.01, 0.1, 1.0),
-               folds: int = 3, max_iter: int = 100, seed: int = 1) -> DataFrame:
-    """(reg, f1): mean cross-validated F1 of one-vs-rest linear SVMs per regularisation,
-    for one problem."""
-    one_problem(known)
-    labels = known.select(*PAIR).join(candidate_slots(known), ["problem", "author"])
-    cases = vectors.join(labels, DOC).select("features", F.col("slot").cast("double").alias("label"))
-    svm = LinearSVC(maxIter=max_iter)
-    grid = ParamGridBuilder().addGrid(svm.regParam, list(costs)).build()
-    search = CrossValidator(
-        estimator=OneVsRest(classifier=svm), estimatorParamMaps=grid, numFolds=folds, seed=seed,
-        evaluator=MulticlassClassificationEvaluator(metricName="f1"), parallelism=2,
-    ).fit(cases)
-    rows = [(float(reg), float(f1)) for reg, f1 in zip(costs, search.avgMetrics)]
-    return vectors.sparkSession.createDataFrame(rows, "reg double, f1 double")
+def param_grid(features: DataFrame, known: DataFrame, costs: Sequence[float] = COSTS,
+               folds: int = GRID_FOLDS) -> DataFrame:
+    """(problem, family, cost, f1, best): macro F1 of one-vs-rest linear SVMs per cost, each document judged
+    by the split that has not seen it; ``best`` marks the first cost with the largest."""
+    pairs = fold_numbers(known, folds).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    role = F.when(F.col("fold") == F.col("split"), "test").otherwise("train")
+    roles = materialize(pairs.select(*DOC, F.col("split").cast("int").alias("split"), role.alias("role")))
+    gold = known.select(*PAIR).withColumnRenamed("author", "gold")
+    parts = []
+    for cost in costs:
+        chosen = svm_margins(features, known, roles, cost).groupBy(*FAMILY, "doc_name").agg(
+            F.min(F.struct((-F.col("margin")).alias("m"), F.col("author").alias("silver"))).alias("best"))
+        # a family is a problem of its own for the report
+        answers = chosen.join(gold, DOC).select(
+            F.struct("problem", "family").alias("problem"), "doc_name", "gold", F.col("best.silver").alias("silver"))
+        parts.append(materialize(class_report(answers).groupBy("problem").agg(F.avg("f1").alias("f1")).select(
+            "problem.problem", "problem.family", F.lit(float(cost)).alias("cost"), "f1")))
+    order = Window.partitionBy("problem", "family").orderBy(F.desc("f1"), F.asc("cost"))
+    return reduce(DataFrame.unionByName, parts).withColumn("best", F.row_number().over(order) == 1)
 
 
 def svd_reduce(vectors: DataFrame, k: int, whiten: bool = False) -> DataFrame:

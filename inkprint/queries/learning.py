@@ -156,8 +156,8 @@ def _dense(estimator, name):
 
 
 def param_grid(spark, sf):
-    vectors, known, _, _ = _one_problem(spark, sf)
-    return rounded(M.param_grid(vectors, known), "f1", digits=4)
+    d, known, _ = _parts(spark, sf)
+    return rounded(M.param_grid(_features(d), known), "f1", digits=4)
 
 
 def svd_reduce(spark, sf):
