@@ -157,3 +157,10 @@ def test_dense_classifiers_refuse_two_problems(spark):
     known = spark.createDataFrame([("p1", "d", "a"), ("p2", "d", "a")], "problem string, doc_name string, author string")
     with pytest.raises(ValueError):
         M.fit_predict(M.random_forest(trees=2), known, known, known, "forest")
+
+
+def test_cost_grid(spark):
+    _, features, known, _ = small_problems(spark, ["p1"])
+    rows = M.param_grid(features, known, (0.5,), 2).collect()
+    assert [(r.problem, r.family, r.cost, r.best) for r in rows] == [("p1", "f", 0.5, True)]
+    assert 0 <= rows[0].f1 <= 1
