@@ -1,3 +1,6 @@
+import random
+from hashlib import md5
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,16 +126,76 @@ def test_dense_classifiers(spark, languages):
         assert accuracy(scores, unknown) > 0.8
 
 
-def test_imposters_on_a_separable_problem(spark):
-    """Scores are shares of the iterations and the settings reach every step."""
-    d = C.docs(spark, SF)
-    settings = I.ImpostersSettings(iterations=3, imposters=10, vocab_size=500)
-    scores = I.imposters_score(C.known(d), C.unknown(d), C.imposters(d), settings)
-    values = {round(r["p"] * 3, 6) for r in scores.select("p").distinct().collect()}
-    assert values <= {0.0, 1.0, 2.0, 3.0}
-    terms = I.sample_terms(V.vocab_top_k(C.known(d), 4, 500), settings)
-    used = terms.select("problem", F.explode("its").alias("it")).groupBy("problem", "it").count()
-    assert used.agg(F.max("count")).first()[0] == 250
+def brute_imposters(spark, d, s):
+    """The rule written out, document by document."""
+    fitted = V.fit_top_k(C.known(d), s.ngram_size, s.vocab_size)
+    vocab, drawn = {}, {}
+    for r in fitted.table.collect():
+        vocab.setdefault(r["problem"], []).append(r["term"])
+
+    def first(it, names, n):
+        order = sorted(names, key=lambda x: (md5(f"{s.seed}|{it}|{x}".encode()).hexdigest(), x))
+        return order[:n]
+
+    def vectors(docs):
+        out = {(r["problem"], r["doc_name"]): {} for r in docs.collect()}
+        for r in fitted.transform(docs).collect():
+            out[r["problem"], r["doc_name"]][r["term"]] = r["value"]
+        return out
+
+    known, unknown, others = (vectors(x) for x in (C.known(d), C.unknown(d), C.imposters(d)))
+    authors = {}
+    for r in C.known(d).collect():
+        authors.setdefault((r["problem"], r["author"]), []).append(known[r["problem"], r["doc_name"]])
+
+    def distance(a, b, used):
+        low = sum(min(a.get(t, 0), b.get(t, 0)) for t in used)
+        both = sum(a.get(t, 0) + b.get(t, 0) for t in used)
+        return round(1 - low / (both - low + 1e-6), 9)
+
+    scores = {}
+    for (problem, name), doc in unknown.items():
+        names = [n for p, n in others if p == problem]
+        for it in range(s.iterations) if names else ():
+            if (problem, it) not in drawn:
+                terms = vocab[problem]
+                drawn[problem, it] = (set(first(it, terms, int(len(terms) * s.keep))), first(it, names, s.imposters))
+            used, texts = drawn[problem, it]
+            least = min(distance(doc, others[problem, n], used) for n in texts)
+            for (p, author), own in authors.items():
+                if p == problem:
+                    center = {t: sum(v.get(t, 0) for v in own) / len(own) for t in used}
+                    hit = distance(doc, center, used) <= least
+                    key = problem, name, author
+                    scores[key] = scores.get(key, 0) + hit / s.iterations
+    return scores
+
+
+def test_imposters_against_brute_force(spark, monkeypatch):
+    """Many small groups; one document has no known term, one problem no imposter, one text is empty."""
+    for name, size in (("GROUP_DOCS", 2), ("GROUP_ITERATIONS", 2), ("GROUP_AUTHORS", 2)):
+        monkeypatch.setattr(I, name, size)
+    pick = random.Random(5)
+
+    def text(words):
+        return " ".join(pick.choice(words) for _ in range(30))
+
+    words = {"a": ["alpha", "alps", "beta"], "b": ["beta", "gamma", "gamut"], "c": ["delta", "alpha", "dell"]}
+    rows = []
+    for problem in ("p", "q", "r"):
+        for author in words:
+            rows += [(problem, f"k{author}{k}", author, text(words[author]), "known", author) for k in range(3)]
+            rows += [(problem, f"u{author}{k}", author, text(words[author]), "unknown", author) for k in range(2)]
+        if problem != "r":
+            rows += [(problem, f"i{k}", "x", text(sum(words.values(), [])), "known", C.UNKNOWN) for k in range(6)]
+    rows += [("p", "none", "a", "zzzzzz", "unknown", "a"), ("q", "void", "a", "", "unknown", "a")]
+    d = spark.createDataFrame(
+        rows, "problem string, doc_name string, author string, text string, split string, true_author string")
+    settings = I.ImpostersSettings(iterations=5, imposters=4, vocab_size=40)
+    found = {(r["problem"], r["doc_name"], r["author"]): r["p"]
+             for r in I.imposters_score(C.known(d), C.unknown(d), C.imposters(d), settings).collect()}
+    assert found == pytest.approx(brute_imposters(spark, d, settings))
+    assert len(found) == 2 * 7 * 3 and 0 < sum(found.values()) < len(found)
 
 
 def test_stacking_keeps_problems_apart(spark):
