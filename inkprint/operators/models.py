@@ -154,9 +154,9 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
     scored = rows.select(
         "block", F.col("doc_name").alias("id"), "slot", "places", "values", F.inline("cases")
     ).where("role <> 'train'")
-    done = []
+    done, cells = [], svm.block_cells(pieces)
     for packed in fit_groups(found):
-        svm.solve(pieces, packed, c, max_iter)
+        svm.solve(pieces, packed, c, max_iter, cells)
         done.append(materialize(svm.margins(scored, packed)))
         for block in packed:
             del block.state

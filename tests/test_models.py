@@ -76,10 +76,13 @@ def test_svm_solves_its_problem_alone(spark, monkeypatch):
     monkeypatch.setattr(M.svm, "MAX_COEFFICIENTS", 28)
     monkeypatch.setattr(M.svm, "CHUNK", 4)
     monkeypatch.setattr(M.svm, "PIECE", 20)
+    monkeypatch.setattr(M.svm, "LOCAL_TASKS", 2)
     apart = by_key(M.svm_ovr(*two))
-    assert both.keys() == apart.keys() and alone.keys() < both.keys()
+    monkeypatch.setattr(M.svm, "LOCAL_CELLS", 0)
+    spread = by_key(M.svm_ovr(*two))
+    assert both.keys() == apart.keys() == spread.keys() and alone.keys() < both.keys()
     assert all(abs(alone[k] - both[k]) < 1e-6 for k in alone)
-    assert all(abs(apart[k] - both[k]) < 1e-6 for k in both)
+    assert all(abs(apart[k] - both[k]) < 1e-6 and abs(spread[k] - both[k]) < 1e-6 for k in both)
 
 
 def test_many_problems_keep_within_the_bound():
