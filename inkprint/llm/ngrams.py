@@ -1,11 +1,11 @@
-"""Language-model scores from an n-gram trie in Elias-Fano code.
-
-Unigrams are smoothed counts of all training tokens. Above them stand the frequent n-grams: those
-that hold at least the share ``SHARE`` of all training tokens, so that a level has at most 1 / SHARE
-entries however large the corpus, at every size alike. An n-gram's probability is its discounted
-share in its context plus what the context leaves, times the shorter probability; so each context's
-probabilities sum to one. Only the frequent part is sent to the tasks; counts of all other words
-are joined.
+"""Language-model scores from n-gram tries in Elias-Fano code.
+
+Unigrams are smoothed counts of all training tokens. An n-gram's probability is its discounted share
+in its context plus what the context leaves, times the shorter probability; so each context's
+probabilities sum to one. Every n-gram counts. The contexts are dealt by hash: a bucket holds the
+trie of its contexts, and each slice of texts sends it the n-grams that it needs, with how often it
+has them in training texts. What comes back is exact; neither the driver nor a task holds more than
+a slice, a bucket, and the few contexts that are so frequent that their n-grams go to all buckets.
 """
 
 from __future__ import annotations
@@ -25,16 +25,22 @@ from pyspark.sql import functions as F
 
 from inkprint.llm.common import bounds, held_out, plain, slices, sums, words_of
 from inkprint.llm.eliasfano import EliasFano
-from inkprint.session import materialize
+from inkprint.session import default_partitions, materialize
 
 FOLDS = 10
 ORDER = 3
 ADD = 0.1
 DISCOUNT = 0.5
-SHARE_BITS = 22
-SHARE = 2.0**-SHARE_BITS
+#: Share of the training tokens under which n-grams don't count: none.
+SHARE = 0.0
+#: A trie made by ``build`` holds 2**WORD_BITS entries a level at most.
+WORD_BITS = 22
 CODES = 4096
 SLICE = 4 << 20
+#: Buckets to a shuffle partition; share of the tokens from which a context goes to all buckets.
+SPREAD = 4
+HOT = 2.0**-11
+NEXT_BITS = 48
 END = xxhash.xxh64_intdigest(b"\n")
 
 
@@ -68,7 +74,7 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Trie:
-    """Words by hash, and per level the frequent n-grams as context * 2**SHARE_BITS + word.
+    """Words by hash, and per level the frequent n-grams as context * 2**WORD_BITS + word.
 
     The successors of a context lie together, in the order of their words, so a search starts at the
     context's own run. ``total`` and ``kinds`` are N and V of the training tokens.
@@ -104,7 +110,7 @@ class Trie:
     def _next(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(word), -1, dtype=np.int64)
         both = np.flatnonzero((context >= 0) & (word >= 0))
-        keys = (context[both].astype(np.uint64) << np.uint64(SHARE_BITS)) | word[both].astype(np.uint64)
+        keys = (context[both].astype(np.uint64) << np.uint64(WORD_BITS)) | word[both].astype(np.uint64)
         out[both] = self.levels[level].find(keys)
         return out
 
@@ -151,7 +157,7 @@ class Trie:
 
 
 def _frequent(counted: DataFrame, key: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in rising order and counts of what occurs at least ``least`` times: 1 / SHARE rows at most."""
+    """Keys in rising order and counts of what occurs at least ``least`` times: 1 / share rows at most."""
     rows = counted.where(F.col("n") >= least).select(key, "n").toArrow()
     keys = np.asarray(rows.column(key), dtype=np.int64).astype(np.uint64)
     order = np.argsort(keys)
@@ -183,7 +189,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def build(texts: DataFrame, words: DataFrame, order: int = ORDER, share: float = SHARE) -> Trie:
-    """Trie of the training texts. A level's n-grams are counted only behind frequent contexts, which
+    """One trie of the n-grams that hold the share at least, for callers that have few enough; scores
+    of whole corpora don't use it. A level's n-grams are counted only behind frequent contexts, which
     loses none, since an n-gram isn't more frequent than its context."""
     whole = words.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
     total, least = whole["total"] or 0, max(1, ceil(share * (whole["total"] or 0)))
@@ -202,12 +209,12 @@ def build(texts: DataFrame, words: DataFrame, order: int = ORDER, share: float =
             first = bounds(per)[:-1]
             context = now._before(now.contexts(word, first, level + 1), first)
             both = (context >= 0) & (word >= 0)
-            made = (context[both].astype(np.uint64) << np.uint64(SHARE_BITS)) | word[both].astype(np.uint64)
+            made = (context[both].astype(np.uint64) << np.uint64(WORD_BITS)) | word[both].astype(np.uint64)
             return np.unique(made, return_counts=True)
 
         keys, n = _frequent(_counts(texts, grams, "gram"), "gram", least)
-        context = (keys >> np.uint64(SHARE_BITS)).astype(np.int64)
-        word = (keys & np.uint64((1 << SHARE_BITS) - 1)).astype(np.int64)
+        context = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
+        word = (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
         part = (n - DISCOUNT) / above[context]
         left = 1 - np.bincount(context, part, minlength=len(above))
         # probability of the word in the context without its first word
@@ -245,6 +252,257 @@ def load(sent) -> Trie:
     return _LOADED[0][1]
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Counts in a byte each, those from 255 on behind them in eight."""
+    values = values.astype(np.int64)
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].tobytes()
+
+
+class _Reader:
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, kind, n: int) -> np.ndarray:
+        out = np.frombuffer(self.data, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def small(self, n: int) -> np.ndarray:
+        out = self.take(np.uint8, n).astype(np.int64)
+        large = out == 255
+        out[large] = self.take(np.int64, int(large.sum()))
+        return out
+
+
+class _Slice:
+    """The n-grams of some texts, and how they are dealt to buckets.
+
+    ``contexts`` are all words and n-grams below the highest order, in levels; ``at[m]`` numbers the
+    n-gram of m + 1 words that ends at each place inside its level, -1 for none. Pairs are a context and
+    the word after it. An entry is a context in a bucket: each has one in its own bucket, and hot ones
+    one in every bucket that gets a pair of theirs.
+    """
+
+    def __init__(self, names, places, per, held, order: int, hot: np.ndarray, buckets: int):
+        self.places, self.ends, size = places, bounds(per), len(names)
+        first, train = self.ends[:-1], np.repeat(~held, per)
+        hashes, self.at, counts = names, [places], [np.bincount(places[train], minlength=size)]
+        self.base, contexts, before, after, times = [0], [names], [], [], []
+        for level in range(1, order):
+            context = Trie._before(self.at[-1], first)
+            where = np.flatnonzero(context >= 0)
+            keys, number = np.unique(context[where] * size + places[where], return_inverse=True)
+            now = np.full(len(places), -1, dtype=np.int64)
+            now[where] = number
+            self.at.append(now)
+            before.append(keys // size + self.base[-1])
+            after.append(names[keys % size])
+            times.append(np.bincount(number[train[where]], minlength=len(keys)))
+            hashes = _mixed(hashes[keys // size], after[-1])
+            self.base.append(self.base[-1] + len(contexts[-1]))
+            if level < order - 1:
+                contexts.append(hashes)
+                counts.append(times[-1])
+        self.words, self.contexts, self.counts = size, np.concatenate(contexts), np.concatenate(counts)
+        self.hot = np.isin(self.contexts, hot)
+        whole = np.uint64(buckets)
+        deal = lambda h: ((h >> np.uint64(32)) * whole >> np.uint64(32)).astype(np.int64)
+        n = len(self.contexts)
+        own = deal(self.contexts) * n + np.arange(n)
+        if before:
+            context, word, times = np.concatenate(before), np.concatenate(after), np.concatenate(times)
+            top = np.arange(len(context)) >= len(context) - len(before[-1])
+            bucket = own[context] // n
+            spread = np.flatnonzero(self.hot[context])
+            bucket[spread] = deal(_mixed(self.contexts[context[spread]], word[spread]))
+            keys = bucket * n + context
+            order_of = np.argsort(keys, kind="stable")
+            keys, self.pair_word, self.pair_times = keys[order_of], word[order_of], times[order_of]
+            self.pair_top, self.pair_number = top[order_of], order_of - (len(context) - len(before[-1]))
+        else:
+            keys = self.pair_times = self.pair_number = np.zeros(0, dtype=np.int64)
+            self.pair_word, self.pair_top = np.zeros(0, np.uint64), np.zeros(0, bool)
+        entries = np.unique(np.concatenate([own, keys]))
+        self.bucket, self.context = np.divmod(entries, n)
+        self.home = np.searchsorted(entries, own)
+        self.pairs = np.bincount(np.searchsorted(entries, keys), minlength=len(entries))
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        """Each bucket and what it is asked: numbers of entries, words among them, pairs and pairs of the
+        highest order, then the entries, words first, and the pairs of each, highest order last."""
+        counts = np.zeros(len(self.context), dtype=np.int64)
+        counts[self.home] = self.counts
+        cuts = np.append(np.flatnonzero(np.diff(self.bucket, prepend=-1)), len(self.bucket))
+        ends = bounds(self.pairs)
+        word = self.pair_word >> np.uint64(64 - NEXT_BITS)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            p = slice(ends[a], ends[b])
+            head = [b - a, (self.context[a:b] < self.words).sum(), ends[b] - ends[a], self.pair_top[p].sum()]
+            yield int(self.bucket[a]), b"".join([
+                np.array(head, dtype=np.int64).tobytes(), self.contexts[self.context[a:b]].tobytes(),
+                (word[p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                (word[p] >> np.uint64(32)).astype(np.uint16).tobytes(),
+                _small(counts[a:b]), _small(self.pairs[a:b]), _small(self.pair_times[p]),
+            ])
+
+    def told(self, answers: list[bytes], known: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Count, kinds and tokens left out of each context, and counts of the highest n-grams. ``answers``
+        are in the order of buckets; ``known`` has the sums of hot contexts."""
+        parts = [[], [], [], []]
+        for data in answers:
+            read = _Reader(data)
+            n, pairs = read.take(np.int64, 2).tolist()
+            for part, size in zip(parts, (n, n, n, pairs)):
+                part.append(read.small(size))
+        count, kinds, out, high = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+        sums_of = [x[self.home] for x in (count, kinds, out)]
+        at = np.searchsorted(known["context"], self.contexts[self.hot])
+        for x, name in zip(sums_of, ("n", "kinds", "dropped")):
+            x[self.hot] = known[name][at]
+        grams = np.zeros(len(high), dtype=np.int64)
+        grams[self.pair_number[self.pair_top]] = high
+        return (*sums_of, grams)
+
+    def scores(self, count, kinds, dropped, grams, total: int, words: int, least: int) -> tuple[np.ndarray, ...]:
+        """Whether each place's word is known, and log10 of its probability alone and in its context."""
+        first = self.ends[:-1]
+        seen = count[self.places]
+        prob = base = (seen + ADD) / (total + ADD * (words + 1))
+        for level in range(1, len(self.at)):
+            context, own = Trie._before(self.at[level - 1], first), self.at[level]
+            where = np.flatnonzero(context >= 0)
+            c = context[where] + self.base[level - 1]
+            where, c = where[count[c] >= least], c[count[c] >= least]
+            n = (grams if level == len(self.at) - 1 else count[self.base[level] :])[own[where]]
+            share = np.where(n >= least, n - DISCOUNT, 0) / count[c]
+            left = (dropped[c] + DISCOUNT * kinds[c]) / count[c]
+            prob = prob.copy()
+            prob[where] = share + left * prob[where]
+        return seen > 0, np.log10(base), np.log10(prob)
+
+
+def _answers(asked: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
+    """What a bucket tells each slice: count of each context in training texts, kinds of words behind
+    it, tokens of it without a counted word behind them; counts of the n-grams of the highest order.
+
+    The trie of a bucket: contexts are numbered, and a level holds context and next word. Rows
+    without a slice have the sums of hot contexts, and for context null the number of words."""
+    heads, contexts, nexts, counts, pairs, times, is_word = [], [], [], [], [], [], []
+    for data in asked.column("ask").to_pylist():
+        read = _Reader(data)
+        n, words, m, top = read.take(np.int64, 4).tolist()
+        heads.append((n, m, top))
+        contexts.append(read.take(np.uint64, n))
+        low = read.take(np.uint32, m).astype(np.uint64)
+        nexts.append(low | read.take(np.uint16, m).astype(np.uint64) << np.uint64(32))
+        counts.append(read.small(n))
+        pairs.append(read.small(n))
+        times.append(read.small(m))
+        is_word.append(np.arange(n) < words)
+    names, number = np.unique(np.concatenate(contexts), return_inverse=True)
+    size = len(names)
+    count = np.bincount(number, np.concatenate(counts), size).astype(np.int64)
+    width = min(NEXT_BITS, 64 - size.bit_length())
+    keys = np.repeat(number.astype(np.uint64), np.concatenate(pairs)) << np.uint64(width)
+    keys |= np.concatenate(nexts) >> np.uint64(NEXT_BITS - width)
+    times = np.concatenate(times)
+    trained = np.flatnonzero(times)
+    grams, gram = np.unique(keys[trained], return_inverse=True)
+    n = np.bincount(gram, times[trained], len(grams)).astype(np.int64)
+    grams, n = grams[n >= least], n[n >= least]
+    level, above = EliasFano.of(grams), (grams >> np.uint64(width)).astype(np.int64)
+    kinds = np.bincount(above, minlength=size)
+    dropped = count - np.bincount(above, n, size).astype(np.int64)
+    made, a, p = [], 0, 0
+    for entries, m, top in heads:
+        at = level.find(keys[p + m - top : p + m])
+        high = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(top, dtype=np.int64)
+        own = number[a : a + entries]
+        # a hot context has its sums from all buckets, which may be negative in one
+        made.append(np.array([entries, top], dtype=np.int64).tobytes() + b"".join(
+            _small(x) for x in (count[own], kinds[own], np.maximum(dropped[own], 0), high)
+        ))
+        a, p = a + entries, p + m
+    known = np.flatnonzero(np.isin(names, hot))
+    words = np.unique(number[np.concatenate(is_word)])
+    more = len(known) + 1
+    def column(kind, own, extra):
+        return pa.concat_arrays([pa.nulls(len(made), kind), pa.array([*own.tolist(), extra], kind)])
+    return pa.table({
+        "slice": pa.concat_arrays([asked.column("slice").combine_chunks().cast(pa.int64()), pa.nulls(more, pa.int64())]),
+        "bucket": pa.concat_arrays([asked.column("bucket").combine_chunks().cast(pa.int64()), pa.nulls(more, pa.int64())]),
+        "answer": pa.concat_arrays([pa.array(made, pa.binary()), pa.nulls(more, pa.binary())]),
+        "context": column(pa.int64(), names[known].astype(np.int64), None),
+        "n": column(pa.int64(), count[known], int((count[words] > 0).sum())),
+        "kinds": column(pa.int64(), kinds[known], 0),
+        "dropped": column(pa.int64(), dropped[known], 0),
+    })
+
+
+def _frequent_contexts(names, places, per, held, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts that hold the share HOT of the places of a slice, and their training tokens."""
+    least, out, n = max(2, HOT * len(places)), [], []
+    train = np.repeat(~held, per)
+    first, at, hashes = bounds(per)[:-1], places, names
+    for level in range(order - 1):
+        times = np.bincount(at[at >= 0], minlength=len(hashes))
+        often = times >= least
+        # nothing follows the end, so that a context which ends there has no pairs
+        if level == 0:
+            often[-1] = False
+        out.append(hashes[often])
+        n.append(np.bincount(at[(at >= 0) & train], minlength=len(hashes))[often])
+        often = np.append(often, False)
+        context = Trie._before(at, first)
+        where = np.flatnonzero(often[context] & often[places] if level == 0 else often[context])
+        keys, number = np.unique(context[where] * len(names) + places[where], return_inverse=True)
+        at = np.full(len(places), -1, dtype=np.int64)
+        at[where] = number
+        hashes = _mixed(hashes[keys // len(names)], names[keys % len(names)])
+    return np.concatenate(out or [np.zeros(0, np.uint64)]), np.concatenate(n or [np.zeros(0, np.int64)])
+
+
+def _packed(part: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _tokenised(part: pa.RecordBatch, order: int) -> tuple:
+    """A slice as its words' hashes, the words of its places, and its rows without their texts."""
+    names, places, per = tokens(part.column("text"))
+    held = part.column("held_out").to_numpy(zero_copy_only=False)
+    rows = pa.RecordBatch.from_arrays(
+        [part.column("id"), part.column("held_out"), pa.array(per)], names=["id", "held_out", "n_tokens"]
+    )
+    often, n = _frequent_contexts(names, places, per, held, order)
+    return (
+        _packed(rows), _packed(pa.RecordBatch.from_arrays([pa.array(names)], names=["x"])),
+        _packed(pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32))], names=["x"])),
+        int(per[~held].sum()), often.astype(np.int64), n,
+    )
+
+
+def _slice_of(row: dict, order: int, hot: np.ndarray, buckets: int) -> tuple[pa.RecordBatch, _Slice]:
+    rows = _unpacked(row["rows"])
+    names, places = (np.asarray(_unpacked(row[k]).column(0)) for k in ("names", "places"))
+    per, held = np.asarray(rows.column("n_tokens")), rows.column("held_out").to_numpy(zero_copy_only=False)
+    return rows, _Slice(names, places.astype(np.int64), per, held, order, hot, buckets)
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: float = SHARE,
     folds: int = FOLDS,
@@ -252,68 +510,78 @@ def score_texts(
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Null texts are empty: their one token is the end. Rows with a null id are learned from. Repeated
-    rows are scored each. Without training rows all probabilities are 1.
+    rows are scored each. Without training rows all probabilities are 1. With a ``share``, longer
+    n-grams that hold less of the training tokens don't count.
     """
+    spark = docs.sparkSession
+    buckets = SPREAD * default_partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn(
         "held_out", held_out("id", folds)
     )
-    learned = rows.where("NOT held_out").select("text")
-    words = count_words(learned)
-    trie = build(learned, words, order, share)
-    sent = docs.sparkSession.sparkContext.broadcast(trie.packed())
     kind = rows.schema["id"].dataType.simpleString()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
-            yield _scored(load(sent), part)
+            made = _tokenised(part, order)
+            kinds = [pa.binary()] * 3 + [pa.int64()] + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], k) for x, k in zip(made, kinds)], names=["rows", "names", "places", "n", "often", "times"]
+            )
 
-    local = rows.mapInArrow(
-        work, f"id {kind}, held_out boolean, n_tokens long, sure long, own double, model double, rare array<long>, times array<int>"
-    )
-    # written out, so that the numbers given to its rows stay the same when a task is run again
-    local = materialize(local).withColumn("row", F.monotonically_increasing_id())
-    rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select(
-        "row", F.col("z.rare").alias("word"), F.col("z.times").alias("times")
-    )
-    least = max(1, ceil(share * trie.total))
-    seldom = words.where(F.col("n") < least)
-    count = F.coalesce("n", F.lit(0))
-    part = F.log10((count + F.lit(ADD)) / F.lit(trie.total + ADD * (trie.kinds + 1)))
-    more = rare.join(seldom, "word", "left").groupBy("row").agg(
-        F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("found"),
-        F.sum(F.col("times") * part).alias("rest"),
+    # written out, so that the numbers given to slices stay the same when a task is run again
+    cuts = materialize(rows.mapInArrow(
+        cut, "rows binary, names binary, places binary, n long, often array<long>, times array<long>"
+    ).withColumn("slice", F.monotonically_increasing_id()))
+    total = cuts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    least = max(1, ceil(share * total))
+    often = cuts.select(F.explode(F.arrays_zip("often", "times")).alias("z")).groupBy("z.often").agg(
+        F.sum("z.times").alias("n")
     )
-    rest = F.coalesce("rest", F.lit(0.0))
-    return local.drop("rare", "times").join(more, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens",
-        (F.col("sure") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(trie.total).cast("long").alias("train_tokens"),
-        (F.col("own") + rest).alias("base_score"), (F.col("model") + rest).alias("score"),
-    )
-
-
-def _scored(trie: Trie, part: pa.RecordBatch) -> pa.RecordBatch:
-    """What the trie knows of each text, and the words that it doesn't know with their counts."""
-    names, places, per = tokens(part.column("text"))
-    at = bounds(per)
-    ids = trie.known(names)
-    unigram = np.zeros(len(names))
-    unigram[ids >= 0] = trie.unigram(trie.count[ids[ids >= 0]])
-    word, own = ids[places], unigram[places]
-    model = trie.score(word, at[:-1], own)
-    outside = np.flatnonzero(word < 0)
-    owner = np.repeat(np.arange(len(per)), per)[outside]
-    key, times = np.unique(owner * len(names) + places[outside], return_counts=True)
-    lists = bounds(np.bincount(key // len(names), minlength=len(per))).astype(np.int32)
-    rare = names[key % len(names)].astype(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("id"), part.column("held_out"), pa.array(per, pa.int64()),
-            pa.array(sums((word >= 0).astype(np.int64), at)),
+    # each of the order - 1 levels has 1 / HOT of them at most
+    often = often.where(F.col("n") >= max(1, HOT * total)).select("often").toArrow()
+    hot = np.sort(np.asarray(often.column("often"), dtype=np.int64).astype(np.uint64))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.slice(row, 1).to_pylist()[0]
+                asks = list(_slice_of(own, order, hot, buckets)[1].asks())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own["slice"]] * len(asks), pa.int64()), pa.array([b for b, _ in asks], pa.int64()),
+                     pa.array([x for _, x in asks], pa.binary())], names=["slice", "bucket", "ask"],
+                )
+
+    asked = cuts.select("slice", "rows", "names", "places").mapInArrow(ask, "slice long, bucket long, ask binary")
+    answers = materialize(asked.groupBy("bucket").applyInArrow(
+        lambda table: _answers(table, least, hot),
+        "slice long, bucket long, answer binary, context long, n long, kinds long, dropped long",
+    ))
+    known = answers.where("slice is null").groupBy("context").agg(
+        *(F.sum(c).alias(c) for c in ("n", "kinds", "dropped"))
+    ).toArrow().to_pylist()
+    words = next((r["n"] for r in known if r["context"] is None), 0)
+    known = [r for r in known if r["context"] is not None]
+    sums_of = {c: np.array([r[c] for r in known], dtype=np.int64) for c in ("context", "n", "kinds", "dropped")}
+    sums_of["context"] = sums_of["context"].astype(np.uint64)
+    by_name = np.argsort(sums_of["context"])
+    sums_of = {c: x[by_name] for c, x in sums_of.items()}
+
+    def score(cut: pa.Table, told: pa.Table) -> pa.Table:
+        batch, own = _slice_of(cut.to_pylist()[0], order, hot, buckets)
+        told = told.sort_by("bucket").column("answer").to_pylist()
+        seen, base, model = own.scores(*own.told(told, sums_of), total, words, least)
+        at = own.ends
+        return pa.table({
+            "id": batch.column("id"), "held_out": batch.column("held_out"), "n_tokens": batch.column("n_tokens"),
+            "n_known": pa.array(sums(seen.astype(np.int64), at)),
             # long sums of a slice would lose digits of short texts: each text is summed by itself
-            pa.array(np.add.reduceat(own, at[:-1])), pa.array(np.add.reduceat(model, at[:-1])),
-            pa.ListArray.from_arrays(lists, pa.array(rare)),
-            pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32))),
-        ],
-        names=["id", "held_out", "n_tokens", "sure", "own", "model", "rare", "times"],
+            "base_score": pa.array(np.add.reduceat(base, at[:-1])), "score": pa.array(np.add.reduceat(model, at[:-1])),
+        })
+
+    scored = cuts.select("slice", "rows", "names", "places").groupBy("slice").cogroup(
+        answers.where("slice is not null").select("slice", "bucket", "answer").groupBy("slice")
+    ).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        "base_score", "score",
     )

@@ -106,3 +106,27 @@ def test_odd_tables(spark):
     held = next(k for k in range(99) if is_held(k))
     only = spark.createDataFrame([(held, "x y")], "doc_id long, text string")
     assert tuple(ngrams.score_texts(only).first()) == (held, True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_rare_ngrams_count_in_a_large_corpus(spark):
+    large = spark.range(1300).selectExpr("id + 10000 AS doc_id", "repeat('a ', 4000) AS text")
+    own = next(k for k in range(99) if not is_held(k))
+    docs = large.union(spark.createDataFrame([(own, "x y z")], "doc_id long, text string")).repartition(5)
+    ends = 1 + sum(not is_held(k + 10000) for k in range(1300))
+    total = 4001 * (ends - 1) + 4
+    assert total > 2**22
+    got = ngrams.score_texts(docs).where(f"doc_id = {own}").first()
+    x, end = ((n + 0.1) / (total + 0.1 * 6) for n in (1, ends))
+    half = lambda p: 0.5 + 0.5 * p
+    want = [x, half(x), half(half(x)), half(half(end))]
+    assert got.train_tokens == total
+    assert math.isclose(got.score, sum(map(math.log10, want)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_orders(spark, order):
+    rows = [(k, " ".join("abcd"[k * j % 4] + "ef"[j % 5 % 2] for j in range(k % 9 + 20))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.score for r in ngrams.score_texts(docs, order=order).collect()}
+    want = {r[0]: r[6] for r in slow_scores(rows, 0, order)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
