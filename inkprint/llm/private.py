@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import plain, slices
+from inkprint.operators.common import join_dimension
 from inkprint.session import materialize
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -33,9 +34,8 @@ LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 #: A pattern counts from this confidence on, and with so many different known identifiers.
 CONFIDENCE = 0.9
 SUPPORT = 5
-#: It must also hold this share of all seed places. A place has three patterns, so that at most
-#: 3 / SHARE patterns are accepted however large the corpus.
-SHARE = 1e-5
+#: Accepted patterns are sent to all tasks up to so many bytes, and joined with the places beyond.
+SENT_BYTES = 8 << 20
 ROUNDS = 3
 MIN_DIGITS = 5
 TOKEN = re.compile(r"\S*[0-9@]\S*")
@@ -162,9 +162,9 @@ def graph(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def induce(
     docs: DataFrame, text_col: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT,
-    share: float = SHARE, rounds: int = ROUNDS,
-) -> dict[str, int]:
-    """Accepted patterns and the kind that each marks.
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """(pattern, kind): accepted patterns and the kind that each marks.
 
     Seeds score 1 for their kind. A pattern's confidence in a kind is the score of its different
     instances over their number plus one; an instance that no base pattern matches takes the mean
@@ -172,12 +172,7 @@ def induce(
     hold a seed matter, so the graph is cut to their neighbourhood at once.
     """
     edges = materialize(graph(docs, text_col))
-    seeds = edges.where("kind >= 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    if not seeds:
-        return {}
-    # all three patterns of a place are rows, so that a third of them counts the places
-    least = max(support, ceil(share * seeds / 3))
-    own = edges.where("kind >= 0").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    own = edges.where("kind >= 0").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     near = materialize(edges.join(own.select("pattern"), "pattern", "left_semi"))
     known = near.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     pairs = near.select("pattern", "instance").distinct()
@@ -197,39 +192,103 @@ def induce(
         guess = guess.join(met, "instance").select("instance", "kind", (F.col("b") / F.col("size")).alias("score"))
         score = known.union(guess)
     best = belief.where((F.col("belief") >= confidence) & (F.col("seeds") >= support))
-    return {r.pattern: r.kind for r in best.collect()}
+    # a confidence over a half leaves a pattern one kind
+    return materialize(best.groupBy("pattern").agg(F.max_by("kind", "belief").alias("kind")))
+
+
+def chosen(votes: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of marked places (start, end, kinds its patterns mark). A place gets the kind that
+    most of its patterns mark, the first listed among equals; of places that overlap, that with most
+    patterns stays, then the longest."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, kinds in sorted(votes, key=lambda v: (-len(v[2]), v[0] - v[1], v[0])):
+        k = bisect_left(out, b, key=lambda x: x[0])
+        if k == 0 or out[k - 1][2] <= a:
+            out.insert(k, (a, min(kinds, key=lambda x: (-kinds.count(x), x)), b))
+    return out
+
+
+def spans_of(
+    text: str, accepted: dict[str, int], votes: list | None = None
+) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans: (start, kind, end). Places are marked by accepted patterns, or their
+    ``votes`` are given; near misses are never added."""
+    base, others, _ = places(text)
+    if votes is None:
+        votes = []
+        for a, b in others if accepted else ():
+            kinds = [accepted[p] for p in patterns(text, a, b) if p in accepted] if _is_form(text[a:b]) else []
+            if kinds:
+                votes.append((a, b, kinds))
+    return base, sorted(base + chosen(votes))
 
 
-def spans_of(text: str, accepted: dict[str, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: (start, kind, end). A place gets the kind that most of its accepted
-    patterns mark, the first listed among equals; near misses are never added."""
-    base, others, _ = places(text)
-    more = []
-    for a, b in others if accepted else ():
-        kinds = [accepted[p] for p in patterns(text, a, b) if p in accepted] if _is_form(text[a:b]) else []
-        if kinds:
-            more.append((a, min(kinds, key=lambda k: (-kinds.count(k), k)), b))
-    return base, sorted(base + more)
+VOTES = "array<struct<start:int,end:int,kinds:array<int>>>"
+
+
+def voted(docs: DataFrame, text_col: str, limit: int = SENT_BYTES, **induced) -> tuple[DataFrame, dict[str, int]]:
+    """``docs`` with the column _votes, and the accepted patterns if they have at most ``limit`` bytes.
+
+    More patterns stay a table. It is joined with the patterns of all places; the marked places of a
+    text are gathered under its digest and joined with the rows, and _votes has them."""
+    accepted = induce(docs, text_col, **induced)
+    size = accepted.agg(F.sum(F.octet_length("pattern") + 100).alias("n")).first()["n"] or 0
+    if size <= limit:
+        return docs.withColumn("_votes", F.lit(None).cast(VOTES)), {r.pattern: r.kind for r in accepted.collect()}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows = []
+            for text, key in zip(plain(part.column("text")).to_pylist(), part.column("key").to_pylist()):
+                for a, b in places(text)[1]:
+                    if _is_form(text[a:b]):
+                        rows += [(key, a, b, k, p) for k, p in enumerate(patterns(text, a, b))]
+            kinds = (pa.string(), *[pa.int32()] * 3, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+                names=["key", "start", "end", "nth", "pattern"],
+            )
+
+    key = F.sha2(F.col(text_col), 256)
+    texts = docs.select(F.col(text_col).alias("text"), key.alias("key")).where("text is not null")
+    asked = texts.mapInArrow(ask, "key string, start int, end int, nth int, pattern string")
+    # copies of a text ask the same, and once is enough
+    marked = join_dimension(asked.distinct(), accepted, ["pattern"], ["key", "start"], materialized=True)
+    of_place = marked.groupBy("key", "start", "end").agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
+    of_text = of_place.groupBy("key").agg(F.collect_list(F.struct("start", "end", "kinds")).cast(VOTES).alias("_votes"))
+    keyed = docs.withColumn("_key", key)
+    return keyed.join(of_text, keyed["_key"] == of_text["key"], "left").select(
+        *(keyed[f"`{c}`"] for c in docs.columns), F.coalesce("_votes", F.array().cast(VOTES)).alias("_votes")
+    ), {}
+
+
+def _votes(part: pa.RecordBatch) -> list[list | None]:
+    return [
+        v if v is None else [(x["start"], x["end"], x["kinds"]) for x in v] for v in part.column("_votes").to_pylist()
+    ]
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_private(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SENT_BYTES
+) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row.
 
     Counts and digest are those of base spans; ``spans`` adds the discovered ones. Null and empty
-    texts have none. Two passes over the texts; only patterns and hashes are shuffled.
+    texts have none. Two passes over the texts; only patterns and hashes are shuffled, unless the accepted
+    patterns are over ``limit`` bytes.
     """
-    accepted = induce(docs, text_col)
+    given, accepted = voted(docs.select(*dict.fromkeys([id_col, text_col])), text_col, limit)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             rows = []
-            for text in plain(part.column(text_col)).to_pylist():
-                base, spans = spans_of(text, accepted)
+            for text, votes in zip(plain(part.column(text_col)).to_pylist(), _votes(part)):
+                base, spans = spans_of(text, accepted, votes)
                 counts = [sum(s[1] == k for s in base) for k in range(len(KINDS))]
                 rows.append((*counts, hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), len(spans) - len(base)))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
@@ -238,7 +297,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
     schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(id_col, text_col).mapInArrow(
+    return given.mapInArrow(
         work, f"{schema}, base_sha256 string, spans string, n_added long"
     )
 
@@ -253,16 +312,18 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[after:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", limit: int = SENT_BYTES
+) -> DataFrame:
     """All rows and columns, with personal data masked in the texts and the size column made anew.
     A null text stays null, with its size."""
-    accepted = induce(docs, text_col)
+    given, accepted = voted(docs, text_col, limit)
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             texts = part.column(text_col).to_pylist()
-            texts = [t and masked(t, spans_of(t, accepted)[1]) for t in texts]
+            texts = [t and masked(t, spans_of(t, accepted, v)[1]) for t, v in zip(texts, _votes(part))]
             columns = {c: part.column(c) for c in names}
             columns[text_col] = pa.array(texts, part.column(text_col).type)
             if size_col in columns:
@@ -272,4 +333,4 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
                 )
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return given.mapInArrow(work, docs.schema)

@@ -63,3 +63,19 @@ def test_cue_words_find_more(spark):
 
 def test_overlapping_spans_become_one():
     assert private.masked("abcdefgh", [(1, 0, 4), (3, 2, 6), (7, 3, 8)]) == "a[EMAIL]g[PHONE]"
+
+
+def test_patterns_of_small_sources_count_in_a_large_corpus(spark):
+    large = spark.range(50_000).selectExpr("id + 1000 AS doc_id", "repeat('a@b.co ', 26) AS text")
+    rows = corpus()
+    docs = large.union(spark.createDataFrame(rows[:12] + rows[60:], "doc_id long, text string"))
+    assert private.find_private(docs).where("doc_id = 100").first().spans == "phone:23:35"
+
+
+def test_joined_patterns_mark_the_same(spark):
+    rows = corpus() + [(100, "so please phone office 654-555-4136 during the day"), (300, "so please phone office 654-555-4137 during the day")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, joined = (sorted(map(str, private.find_private(docs, limit=n).collect())) for n in (private.SENT_BYTES, 0))
+    assert whole == joined and sum("n_added=1" in r for r in joined) == 3
+    whole, joined = (sorted(map(str, private.redact(docs, limit=n).collect())) for n in (private.SENT_BYTES, 0))
+    assert whole == joined
