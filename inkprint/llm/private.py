@@ -39,6 +39,9 @@ SENT_BYTES = 8 << 20
 ROUNDS = 3
 MIN_DIGITS = 5
 TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: Numbers written in groups: one separator between two groups, besides brackets around one.
+SPACED = re.compile(r"\+?\(?[0-9](?:(?:\)?[-. /\xa0\u202f]?\(?)[0-9])*")
+MAX_DIGITS = 19
 EDGES = ".,;:!?()[]{}<>\"'«»*#$%&|=“”„"
 
 
@@ -115,23 +118,41 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def places(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Base spans, other places of identifier form, and places that are known to be none."""
+    """Base spans, other places of identifier form, and places that are known to be none.
+
+    Others are numbers in groups, counted over all of them, and single tokens. A token inside such a
+    number is a place of its own only if it has the form by itself."""
     base, failed = base_spans(text)
     if not base and "@" not in text and not any(c in text for c in "0123456789"):
         return [], [], []
-    taken = sorted([(a, b) for a, _, b in base] + [(a, b) for a, _, b in failed])
-    others, i = [], 0
+    taken: list[list[int]] = []
+    for a, b in sorted([(a, b) for a, _, b in base] + [(a, b) for a, _, b in failed]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+
+    def free(start: int, end: int, of: list) -> bool:
+        k = bisect_left(of, end, key=lambda x: x[0]) - 1
+        return k < 0 or of[k][1] <= start
+
+    spaced = []
+    for m in SPACED.finditer(text):
+        start, end = m.span()
+        if not (start and text[start - 1].isalnum() or text[end : end + 1].isalnum()) and free(start, end, taken):
+            digits = sum(c.isdigit() for c in m.group())
+            if MIN_DIGITS <= digits <= MAX_DIGITS and any(c.isspace() for c in m.group()):
+                spaced.append((start, end))
+    others = set(spaced)
     for m in TOKEN.finditer(text):
         start, end = m.span()
         while start < end and text[start] in EDGES:
             start += 1
         while end > start and text[end - 1] in EDGES:
             end -= 1
-        while i < len(taken) and taken[i][1] <= start:
-            i += 1
-        if start < end and not any(a < end and b > start for a, b in taken[i : i + 8]):
-            others.append((start, end))
-    return base, others, sorted({(a, b) for a, _, b in failed} - {(a, b) for a, _, b in base})
+        if start < end and free(start, end, taken) and (free(start, end, spaced) or _is_form(text[start:end])):
+            others.add((start, end))
+    return base, sorted(others), sorted({(a, b) for a, _, b in failed} - {(a, b) for a, _, b in base})
 
 
 def _is_form(text: str) -> bool:
