@@ -4,7 +4,9 @@ A page's stream of tags and texts becomes a nested expression of elements and te
 expressions of a host are aligned pairwise until one is left: where two don't match, the part that
 one of them lacks becomes optional, and elements or runs of elements that follow each other become
 repeated groups. So a wrapper has no alternatives, and every page of the host matches it. Its
-text slots are labelled once; a page's texts take the labels of the slots they match.
+text slots are labelled once; a page's texts take the labels of the slots they match. What the
+pages of a host hold in a slot decides with the words of elements: texts that stand on most pages are
+the host's own, and an element that holds nearly all other text isn't dropped for its name.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import row_hash, slices
+from inkprint.operators.common import join_dimension
+from inkprint.session import materialize
 
 # Elements of HTML by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +52,11 @@ SLOT = "#"
 DEPTH = 60
 PERIOD = 4
 SALTS = 16
+#: A text of a slot is the host's own if it stands on this share of its different pages, and so many.
+CONSTANT = 0.5
+MIN_PAGES = 4
+#: An element that holds this share of the host's other text is not dropped for its name or words.
+HOLDS = 0.9
 
 
 def stream(page: str) -> Iterator[tuple[str, str, str]]:
@@ -216,35 +226,70 @@ def shown(node: list) -> str:
     return SLOT if node[0] == SLOT else f"({inner})" if node[0] == "()" else f"<{node[0]}>({inner})"
 
 
-def labelled(wrapper: list) -> dict:
+def labelled(wrapper: list, held: frozenset = frozenset()) -> dict:
     """Per element of the wrapper: does its text belong to the article? Nested dicts by symbol, with the
-    label at the empty key: 1 inside the main region, 0 outside, -1 in what is dropped."""
+    label at the empty key: 1 inside the main region, 0 outside, -1 in what is dropped. ``held`` are the
+    paths of elements that hold nearly all text: outside the main region they aren't dropped."""
 
-    def label(node: list, state: int, into: dict) -> None:
+    def label(node: list, state: int, path: str, into: dict) -> None:
         for child, _, _ in node[1]:
             if child[0] == "()":
-                label(child, state, into)
+                label(child, state, path, into)
             elif child[0] != SLOT:
-                own = -1 if state < 0 or is_dropped(child[0]) else 1 if state or child[0] in MAIN else 0
-                label(child, own, into.setdefault(child[0], {"": own}))
+                here = f"{path}>{child[0]}"
+                dropped = is_dropped(child[0]) and not (state == 0 and here in held)
+                own = -1 if state < 0 or dropped else 1 if state or child[0] in MAIN else 0
+                label(child, own, here, into.setdefault(child[0], {"": own}))
 
     root: dict = {"": 0}
-    label(wrapper, 0, root)
+    label(wrapper, 0, "", root)
     return root
 
 
-def extract(page: str, labels: dict) -> str:
-    """Texts of the page's main region, one line per block; of the whole body if the page has none."""
-    inside: list[str] = []
-    outside: list[str] = []
+def blocks(page: str) -> Iterator[tuple[list[str], str]]:
+    """The symbols above each block of text, outermost first, and the text."""
     run: list[str] = []
+    path: list[str] = []
+    for kind, value in walk(page):
+        if kind == "text":
+            run.append(value)
+            continue
+        text = " ".join("".join(run).split())
+        run.clear()
+        if text:
+            yield path, text
+        if kind == "in":
+            path.append(value)
+        elif kind == "out":
+            path.pop()
+    text = " ".join("".join(run).split())
+    if text:
+        yield path, text
+
+
+def slot_key(path: list[str], text: str) -> int:
+    """Signed hash of a text in its slot. Slots below ``DEPTH`` levels count as one."""
+    key = xxhash.xxh64_intdigest("\n".join([*path[:DEPTH], "", text]))
+    return key - 2**64 if key >= 2**63 else key
+
+
+def extract(page: str, labels: dict, constant: frozenset = frozenset()) -> str:
+    """Texts of the page's main region, one line per block; of the whole body if the page has none.
+
+    Texts of ``constant`` slots go, unless they are over half of the page: then pages are copies of each
+    other rather than filled into one frame."""
+    inside: list[tuple[str, bool]] = []
+    outside: list[tuple[str, bool]] = []
+    run: list[str] = []
+    path: list[str] = []
     stack = [labels]
 
     def flush() -> None:
         text = " ".join("".join(run).split())
         run.clear()
         if text and stack[-1][""] >= 0:
-            (inside if stack[-1][""] else outside).append(text)
+            own = bool(constant) and slot_key(path, text) in constant
+            (inside if stack[-1][""] else outside).append((text, own))
 
     found = False
     for kind, value in walk(page):
@@ -260,10 +305,15 @@ def extract(page: str, labels: dict) -> str:
                 below = {"": -1 if state < 0 or is_dropped(value) else 1 if state or value in MAIN else 0}
             found = found or below[""] == 1
             stack.append(below)
+            path.append(value)
         elif kind == "out":
             stack.pop()
+            path.pop()
     flush()
-    return "\n".join(inside if found else outside)
+    kept = inside if found else outside
+    if 2 * sum(len(t) for t, own in kept if own) <= sum(len(t) for t, _ in kept):
+        kept = [x for x in kept if not x[1]]
+    return "\n".join(t for t, _ in kept)
 
 
 def host_of(url: str) -> object:
@@ -297,6 +347,58 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return once.groupBy("host").applyInPandas(align, kinds).select("host", F.col("e").alias("wrapper"))
 
 
+def evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, constant, held): keys of the texts that stand in one slot of most pages, and paths of the
+    dropped elements that hold nearly all other text.
+
+    Copies of a page count once. Texts are counted per slot and hash; what is gathered by host is at most
+    1 / CONSTANT times the blocks of a page, and a chain of elements."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_html"):
+            rows = []
+            for host, page in zip(part.column("host").to_pylist(), part.column("_html").to_pylist()):
+                key = xxhash.xxh64_intdigest(page or "") >> 1
+                seen = {}
+                for path, text in blocks(page or ""):
+                    slot = slot_key(path, text)
+                    if slot not in seen:
+                        above = [k + 1 for k, sym in enumerate(path[:DEPTH]) if is_dropped(sym)]
+                        seen[slot] = (host, key, slot, len(text), ["".join(f">{x}" for x in path[:k]) for k in above])
+                rows += seen.values()
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+                names=["host", "page", "slot", "chars", "above"],
+            )
+
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("_html")).mapInArrow(
+        texts, "host string, page long, slot long, chars long, above array<string>"
+    )
+    # a slot's key stands for its text and path, so that these are the same in all of its rows
+    once = rows.groupBy("host", "slot", "page").agg(F.first("chars").alias("chars"), F.first("above").alias("above"))
+    counted = once.groupBy("host", "slot").agg(
+        F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("above").alias("above")
+    )
+    # slots of fewer pages only add to the text of the elements above them
+    slot = F.when(F.col("n") >= MIN_PAGES, F.col("slot")).alias("slot")
+    counted = materialize(counted.groupBy("host", slot, "above").agg(
+        F.max("n").alias("n"), F.sum(F.col("n") * F.col("chars")).alias("mass")
+    ))
+    different = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.col(html_col)).alias("page")).distinct()
+    size = materialize(different.groupBy("host").agg(F.count("*").alias("pages")))
+    often = F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.col("pages") * CONSTANT)
+    told = join_dimension(counted, size, ["host"], ["slot"], materialized=True)
+    constant = told.where(often).groupBy("host").agg(F.collect_list("slot").alias("constant"))
+    other = told.where(~often)
+    whole = other.groupBy("host").agg(F.sum("mass").alias("whole"))
+    held = other.select("host", "mass", F.explode("above").alias("path")).groupBy("host", "path").agg(
+        F.sum("mass").alias("mass")
+    ).join(whole, "host").where(F.col("mass") >= F.col("whole") * HOLDS)
+    held = held.groupBy("host").agg(F.collect_list("path").alias("held"))
+    return size.select("host").join(constant, "host", "left").join(held, "host", "left")
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -305,23 +407,26 @@ def main_text(
     Null html is empty, null urls are one host without name; repeated pages stay. Wrappers are joined
     by host and salt, so that a host with many pages is spread.
     """
-    wrappers = infer(pages, url_col, html_col).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    wrappers = infer(pages, url_col, html_col).join(evidence(pages, url_col, html_col), "host", "left")
+    wrappers = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
         host_of(url_col).alias("host"), F.pmod(row_hash(pages, [id_col, url_col]), F.lit(SALTS)).cast("int").alias("salt"),
-    ).join(wrappers, ["host", "salt"]).select("id", "url", "html", "wrapper")
+    ).join(wrappers, ["host", "salt"]).select("id", "url", "html", "wrapper", "constant", "held")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[tuple, dict] = {}
         for part in slices(batches, "html"):
             texts = []
-            for page, wrapper in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist()):
-                if wrapper not in known:
+            columns = (part.column(c).to_pylist() for c in ("html", "wrapper", "constant", "held"))
+            for page, wrapper, constant, held in zip(*columns):
+                key = (wrapper, frozenset(constant or ()), frozenset(held or ()))
+                if key not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = labelled(json.loads(wrapper))
-                texts.append(extract(page or "", known[wrapper]))
+                    known[key] = labelled(json.loads(wrapper), key[2])
+                texts.append(extract(page or "", known[key], key[1]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"],

@@ -63,3 +63,24 @@ def test_odd_tables(spark):
     assert len(got) == len(rows) and wrappers.main_text(pages.limit(0)).count() == 0
     by = {r.page_id: r.text for r in got}
     assert (by[1], by[None], by[2], by[3], by[40]) == ("a", "", "", "z", "31")
+
+
+def test_the_host_decides(spark):
+    frame = "<ul class=links><li>Home<li>About</ul>{}<div class=disclaimer>All rights reserved.</div>"
+    plain = [(k, f"http://a.x/{k}", frame.format(f"<p>Story number {k} is told here at some length.")) for k in range(6)]
+    main = [(10 + k, f"http://b.x/{k}", f"<article><p>Report {k} has these words in it, and more.<p>Follow us</article>")
+            for k in range(6)]
+    form = [(20 + k, f"http://c.x/{k}", f"<form><div><p>Page {k} stands in a form as a whole.</div><nav>M</nav></form>")
+            for k in range(6)]
+    same = [(30 + k, f"http://d.x/{k}", f"<p>A long text that is nearly the same on all of the pages.<p>No {k}") for k in range(6)]
+    copies = [(40 + k, f"http://e.x/{k}", "<article><p>One page, many times.</article>") for k in range(6)]
+    few = [(50 + k, f"http://f.x/{k}", frame.format(f"<p>Story {k}")) for k in range(2)]
+    pages = spark.createDataFrame(plain + main + form + same + copies + few, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    for k in range(6):
+        assert got[k] == f"Story number {k} is told here at some length."
+        assert got[10 + k] == f"Report {k} has these words in it, and more."
+        assert got[20 + k] == f"Page {k} stands in a form as a whole."
+        assert got[30 + k] == f"A long text that is nearly the same on all of the pages.\nNo {k}"
+        assert got[40 + k] == "One page, many times."
+    assert got[50] == "Home\nAbout\nStory 0\nAll rights reserved."
