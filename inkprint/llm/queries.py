@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.llm import (
-    counts, decontaminate, language, multiset, ngrams, pieces, private, quality, simhash, wrappers,
+    counts, decontaminate, language, metric, multiset, negatives, ngrams, pieces, private, quality, simhash, wrappers,
 )
 
 
@@ -84,6 +84,15 @@ def op10_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.score_texts(table(spark, sf, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op13_metric(spark: SparkSession, sf: str) -> DataFrame:
+    return metric.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_private": op2_private,
@@ -95,8 +104,19 @@ QUERIES = {
     "op8_counts": op8_counts,
     "op9_simhash": op9_simhash,
     "op10_ngrams": op10_ngrams,
+    "op12_negatives": op12_negatives,
+    "op13_metric": op13_metric,
 }
 
+#: Rows of embeddings that take part, with whole components in doubles: their products are exact below 2^53.
+WHOLE = """
+            SELECT row_number() OVER () AS place, vec_id, label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND
+                  len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
 ORACLES: dict[str, str] = {
     "op5_decontaminate": """
         WITH texts AS (
@@ -121,4 +141,30 @@ ORACLES: dict[str, str] = {
         WHERE NOT d.item AND i.item
         GROUP BY d.place, d.id, i.id HAVING count(*) >= 0.8 * any_value(z.n) - 1e-9
     """,
+    "op12_negatives": f"""
+        WITH vectors AS ({WHOLE} AND label IS NOT NULL),
+        named AS (SELECT place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM vectors),
+        scored AS (
+            SELECT a.place AS key, a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+                   list_dot_product(a.v, r.v)::BIGINT AS score
+            FROM named a JOIN named r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+        ), positive AS (
+            SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, id) AS no FROM scored WHERE same
+            QUALIFY no <= 5
+        )
+        SELECT p.anchor_id, p.id AS positive_id,
+               row_number() OVER (PARTITION BY p.key, p.no ORDER BY n.score DESC, n.id) AS rank,
+               n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positive p JOIN scored n ON n.key = p.key AND NOT n.same
+             AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        QUALIFY rank <= 5
+    """,
+    "op13_metric": f"""
+        WITH vectors AS ({WHOLE})
+        SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score,
+               row_number() OVER (PARTITION BY q.place ORDER BY list_dot_product(q.v, r.v) DESC, r.vec_id) AS rank
+        FROM vectors q JOIN vectors r ON q.vec_id <> r.vec_id
+        WHERE q.vec_id % 50 = 0
+        QUALIFY rank <= 5
+    """,
 }
