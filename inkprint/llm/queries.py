@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.llm import (
-    counts, decontaminate, language, metric, multiset, negatives, ngrams, pieces, private, quality, simhash, wrappers,
+    counts, decontaminate, language, lexical, metric, multiset, negatives, ngrams, pieces, private, quality,
+    simhash, wrappers,
 )
 
 
@@ -84,6 +85,10 @@ def op10_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.score_texts(table(spark, sf, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op12_negatives(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf, "embeddings"), label, F.col("vec_id") % 100 == 0)
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_counts": op8_counts,
     "op9_simhash": op9_simhash,
     "op10_ngrams": op10_ngrams,
+    "op11_lexical": op11_lexical,
     "op12_negatives": op12_negatives,
     "op13_metric": op13_metric,
 }
@@ -141,6 +147,37 @@ ORACLES: dict[str, str] = {
         WHERE NOT d.item AND i.item
         GROUP BY d.place, d.id, i.id HAVING count(*) >= 0.8 * any_value(z.n) - 1e-9
     """,
+    "op11_lexical": """
+        WITH worded AS (
+            SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+            FROM documents WHERE text IS NOT NULL
+        ), whole AS (SELECT count(*) AS big_n, sum(len(t))::BIGINT AS big_l FROM worded WHERE len(t) > 0),
+        items AS (
+            SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+            FROM benchmark WHERE text IS NOT NULL
+        ), asked AS (SELECT item, item_id, unnest(t) AS term FROM items),
+        postings AS (
+            SELECT place, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+            FROM (SELECT place, doc_id, len(t) AS n, unnest(t) AS term FROM worded)
+            WHERE term IN (SELECT term FROM asked) GROUP BY place, term
+        ), weighed AS (
+            SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM postings, whole GROUP BY term
+        ), parts AS (
+            SELECT place, doc_id, term,
+                   w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS part
+            FROM postings JOIN weighed USING (term), whole
+        ), scored AS (
+            SELECT item, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, sum(part)::BIGINT AS score
+            FROM asked JOIN parts USING (term) GROUP BY item, place
+        )
+        SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op12_negatives": f"""
         WITH vectors AS ({WHOLE} AND label IS NOT NULL),
         named AS (SELECT place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM vectors),
