@@ -12,6 +12,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -26,7 +27,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.operators import svm
+from inkprint.operators import dual, svm
 from inkprint.operators.common import DOC, join_dimension, ordinal
 from inkprint.operators.evaluate import class_report
 from inkprint.operators.similarity import PAIR
@@ -35,9 +36,18 @@ from inkprint.session import materialize
 FAMILY = ["family", "problem"]
 # Solver passes. The tolerance ends nearly all tasks before.
 SVM_ITERATIONS = 500
-# The costs and the number of folds of the published grid.
+#: Problems with so many known documents at most are solved in the dual, a block in one task.
+IN_PLACE_DOCS = dual.GROUP_ROWS
+#: Margins of a sigmoid that are fitted in one task; larger groups take their steps by grouped sums.
+IN_PLACE_MARGINS = 200_000
+#: How close margins are solved: a relative duality gap, made exact for the squared hinge loss.
+SOLVED_GAP = 1e-6
+# The costs, losses and the number of folds of the published grid.
 COSTS = (0.0001, 0.001, 0.01, 0.5, 1.0, 5.0, 10.0, 20.0)
+LOSSES = (dual.HINGE, dual.SQUARED)
 GRID_FOLDS = 5
+#: Relative duality gap of the grid, where only the order of margins counts, and of kernel machines.
+GRID_GAP, KERNEL_GAP = 1e-3, 1e-4
 
 
 def sparse_vector(size: int, index: Column, value: Column) -> Column:
@@ -132,8 +142,23 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
     """(family, problem, doc_name, split, role, author, margin, hit) of one-vs-rest linear SVMs.
 
     Squared hinge loss, penalised bias, classes balanced inside each binary task. Needs two candidates
-    with training documents; a problem without them gets no rows.
+    with training documents; a problem without them gets no rows. Problems of bounded size are solved in
+    the dual where their documents are; problems with more documents by passes, unless their vocabulary
+    is too large for that: those go to the dual too, in rounds. All ways reach the same minimum.
     """
+    large = known.groupBy("problem").agg(F.count("*").alias("n")).where(F.col("n") > IN_PLACE_DOCS).select("problem")
+    settings = (dual.Setting("", c),)
+    if large.isEmpty():
+        return dual.margins(features, known, roles, settings, gap=SOLVED_GAP).drop("setting")
+    large = materialize(large)
+    split = lambda df, how: join_dimension(df, large, ["problem"], ["doc_name"], how, materialized=True)
+    rest = [df.join(F.broadcast(large), "problem", "left_anti") for df in (features, known, roles)]
+    done = _margins_by_passes(*(split(df, "left_semi") for df in (features, known, roles)), c, max_iter)
+    return done.unionByName(dual.margins(*rest, settings, gap=SOLVED_GAP).drop("setting"))
+
+
+def _margins_by_passes(features: DataFrame, known: DataFrame, roles: DataFrame, c: float, max_iter: int) -> DataFrame:
+    """Margins of problems with many documents: rows stay spread, coefficients are held together."""
     slots = materialize(candidate_slots(known))
     labels = known.select(*PAIR).join(slots, ["problem", "author"]).select(*DOC, "slot")
     rows, sizes = block_rows(features, labels, roles)
@@ -146,6 +171,13 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
         F.array_sort(F.collect_list(F.struct("split", "slot", "n_hit", "n_all"))).alias("tasks"))
     # One row per family and problem: its size and its tasks (splits x candidates).
     found = sizes.join(tasks, "problem").orderBy(*FAMILY).collect()
+    wide = [(row["family"], row["problem"]) for row in found if row["size"] > svm.MAX_TERMS]
+    found = [row for row in found if row["size"] <= svm.MAX_TERMS]
+    apart = []
+    if wide:
+        own = F.broadcast(features.sparkSession.createDataFrame(wide, "family string, problem string"))
+        mine = [df.join(own.select("problem").distinct(), "problem", "left_semi") for df in (known, roles)]
+        apart = [dual.margins(features.join(own, FAMILY, "left_semi"), *mine, (dual.Setting("", c),), gap=SOLVED_GAP).drop("setting")]
     numbers = margins_numbers(features, found)
     rows = join_dimension(rows, numbers, FAMILY, ["doc_name"])
     in_training = F.transform(F.filter("cases", lambda x: x["role"] == "train"), lambda x: x["split"])
@@ -161,13 +193,15 @@ def svm_margins(features: DataFrame, known: DataFrame, roles: DataFrame, c: floa
         for block in packed:
             del block.state
     if not done:
+        if apart:
+            return apart[0]
         raise ValueError("no problem has two candidates with known documents")
     named = join_dimension(reduce(DataFrame.unionByName, done), numbers, ["block"], ["id"]).withColumnRenamed(
         "id", "doc_name")
     authors = join_dimension(
         named, slots.withColumnRenamed("slot", "task"), ["problem", "task"], ["doc_name"], materialized=True)
-    return materialize(authors.select(
-        *FAMILY, "doc_name", "split", "role", "author", "margin", "hit"))
+    columns = [*FAMILY, "doc_name", "split", "role", "author", "margin", "hit"]
+    return reduce(DataFrame.unionByName, [materialize(authors.select(*columns)), *apart])
 
 
 def margins_numbers(features: DataFrame, found: Sequence) -> DataFrame:
@@ -211,15 +245,56 @@ def svm_ovr(features: DataFrame, known: DataFrame, unknown: DataFrame, c: float
 # -- calibration ------------------------------------------------------------------------
 
 
+def _sigmoid(margin: np.ndarray, hit: np.ndarray, max_iter: int) -> tuple[float, float]:
+    """Slope and offset of one group by damped Newton steps."""
+    pos, neg = hit.sum(), len(hit) - hit.sum()
+    target = np.where(hit > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b, loss, da, db = 0.0, 0.0, np.inf, 0.0, np.log((pos + 1) / (neg + 1))
+    for _ in range(max_iter):
+        f = (a + da) * margin + b + db
+        now = (np.maximum(f, 0) + np.log1p(np.exp(-np.abs(f))) - target * f).sum()
+        if now <= loss:
+            a, b, loss = a + da, b + db, now
+            q = 1 / (1 + np.exp(-f))
+            e, w = q - target, q * (1 - q)
+            ga, gb = (e * margin).sum(), e.sum()
+            haa, hab, hbb = (w * margin * margin).sum() + 1e-12, (w * margin).sum(), w.sum() + 1e-12
+            det = haa * hbb - hab * hab
+            da, db = (hab * gb - hbb * ga) / det, (hab * ga - haa * gb) / det
+        else:
+            da, db = da / 2, db / 2
+        if abs(da) + abs(db) <= 1e-8 * (1 + abs(a) + abs(b)):
+            break
+    return a, b
+
+
 def platt_scale(margins: DataFrame, max_iter: int = 100) -> DataFrame:
     """(family, problem, author, split, slope, offset): p = 1 / (1 + exp(-(slope*margin + offset))).
 
-    Targets are (n+ + 1)/(n+ + 2) and 1/(n- + 2). Every (family, problem, author, split) takes its
-    own damped Newton steps; a step is six grouped sums, so neither margins nor sigmoids are
-    gathered. A group whose loss rises goes half the way back.
+    Targets are (n+ + 1)/(n+ + 2) and 1/(n- + 2). Every (family, problem, author, split) is fitted by
+    itself: in one task if its margins are few, else by grouped sums. Both take the same damped Newton steps.
     """
     key = [*FAMILY, "author", "split"]
     training = margins.where("role = 'calibrate'").select(*key, "doc_name", "margin", "hit")
+    counts = training.groupBy(*key).agg(F.count("*").alias("n"))
+    large = materialize(counts.where(F.col("n") > IN_PLACE_MARGINS).select(*key))
+    schema = "family string, problem string, author string, split int, slope double, offset double"
+    form = margins.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def fit(table: pa.Table) -> pa.Table:
+        a, b = _sigmoid(np.asarray(table["margin"]), np.asarray(table["hit"]), max_iter)
+        return pa.Table.from_pylist([table.slice(0, 1).select(key).to_pylist()[0] | {"slope": a, "offset": b}], schema=form)
+
+    if large.isEmpty():
+        return training.groupBy(*key).applyInArrow(fit, schema)
+    few = join_dimension(training, large, key, ["doc_name"], "left_anti", materialized=True)
+    many = join_dimension(training, large, key, ["doc_name"], "left_semi", materialized=True)
+    return few.groupBy(*key).applyInArrow(fit, schema).unionByName(_sigmoids_by_sums(many, key, max_iter))
+
+
+def _sigmoids_by_sums(training: DataFrame, key: list[str], max_iter: int) -> DataFrame:
+    """Sigmoids of large groups: a step is six grouped sums, so neither margins nor sigmoids are
+    gathered. A group whose loss rises goes half the way back."""
     counts = training.groupBy(*key).agg(
         F.sum("hit").alias("pos"), (F.count("*") - F.sum("hit")).alias("neg")
     )
@@ -263,7 +338,7 @@ def platt_scale(margins: DataFrame, max_iter: int = 100) -> DataFrame:
 
 def calibrated_scores(margins: DataFrame) -> DataFrame:
     """(problem, doc_name, model, author, p): calibrated, normed per document and split, then
-    averaged over the splits."""
+    averaged over the document's splits; a candidate that a split doesn't know has 0 there."""
     sigmoids = platt_scale(margins)
     tests = margins.where("role = 'test'")
     joined = join_dimension(tests, sigmoids, [*FAMILY, "author", "split"], ["doc_name"])
@@ -273,7 +348,9 @@ def calibrated_scores(margins: DataFrame) -> DataFrame:
     normed = joined.withColumn("_q", raw).withColumn(
         "_p", F.when(total > 0, F.col("_q") / total).otherwise(F.lit(1.0) / count)
     )
-    return normed.groupBy(*DOC, F.col("family").alias("model"), "author").agg(F.avg("_p").alias("p"))
+    splits = F.size(F.collect_set("split").over(Window.partitionBy(*FAMILY, "doc_name")))
+    return normed.withColumn("_splits", splits).groupBy(*DOC, F.col("family").alias("model"), "author").agg(
+        (F.sum("_p") / F.first("_splits")).alias("p"))
 
 
 def multi_fit_predict(features: DataFrame, known: DataFrame, unknown: DataFrame, folds: int = 3,
@@ -283,6 +360,15 @@ def multi_fit_predict(features: DataFrame, known: DataFrame, unknown: DataFrame,
     return calibrated_scores(svm_margins(features, known, roles, c, max_iter))
 
 
+def kernel_fit_predict(features: DataFrame, known: DataFrame, unknown: DataFrame, folds: int = 3,
+                       c: float = 1.0, gamma: float | None = None) -> DataFrame:
+    """Scores of calibrated one-vs-rest machines with radial kernel and hinge loss."""
+    roles = materialize(calibration_roles(known, unknown, folds))
+    settings = (dual.Setting("", c, dual.HINGE, balanced=False),)
+    margins = dual.margins(features, known, roles, settings, radial=True, gamma=gamma, gap=KERNEL_GAP)
+    return calibrated_scores(margins.drop("setting"))
+
+
 def single_fit_predict(features: DataFrame, known: DataFrame, unknown: DataFrame, family: str,
                        **settings) -> DataFrame:
     return multi_fit_predict(features.where(F.col("family") == family), known, unknown, **settings)
@@ -389,24 +475,27 @@ def boosted(rounds: int = 50, seed: int = 1) -> Estimator:
 
 
 def param_grid(features: DataFrame, known: DataFrame, costs: Sequence[float] = COSTS,
-               folds: int = GRID_FOLDS) -> DataFrame:
-    """(problem, family, cost, f1, best): macro F1 of one-vs-rest linear SVMs per cost, each document judged
-    by the split that has not seen it; ``best`` marks the first cost with the largest."""
+               folds: int = GRID_FOLDS, losses: Sequence[str] = LOSSES) -> DataFrame:
+    """(problem, family, cost, loss, f1, best): macro F1 of one-vs-rest linear SVMs per cost and loss, each
+    document judged by the split that has not seen it; ``best`` marks the largest, of equal ones the
+    smallest cost, then the first loss. All settings of a block share its kernel matrix."""
     pairs = fold_numbers(known, folds).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     role = F.when(F.col("fold") == F.col("split"), "test").otherwise("train")
     roles = materialize(pairs.select(*DOC, F.col("split").cast("int").alias("split"), role.alias("role")))
     gold = known.select(*PAIR).withColumnRenamed("author", "gold")
-    parts = []
-    for cost in costs:
-        chosen = svm_margins(features, known, roles, cost).groupBy(*FAMILY, "doc_name").agg(
-            F.min(F.struct((-F.col("margin")).alias("m"), F.col("author").alias("silver"))).alias("best"))
-        # a family is a problem of its own for the report
-        answers = chosen.join(gold, DOC).select(
-            F.struct("problem", "family").alias("problem"), "doc_name", "gold", F.col("best.silver").alias("silver"))
-        parts.append(materialize(class_report(answers).groupBy("problem").agg(F.avg("f1").alias("f1")).select(
-            "problem.problem", "problem.family", F.lit(float(cost)).alias("cost"), "f1")))
-    order = Window.partitionBy("problem", "family").orderBy(F.desc("f1"), F.asc("cost"))
-    return reduce(DataFrame.unionByName, parts).withColumn("best", F.row_number().over(order) == 1)
+    grid = {f"{i:03}": (float(c), loss) for i, (c, loss) in enumerate((c, loss) for c in sorted(costs) for loss in losses)}
+    settings = [dual.Setting(name, c, loss) for name, (c, loss) in grid.items()]
+    chosen = dual.margins(features, known, roles, settings, gap=GRID_GAP).groupBy(*FAMILY, "setting", "doc_name").agg(
+        F.min(F.struct((-F.col("margin")).alias("m"), F.col("author").alias("silver"))).alias("best"))
+    # a family and setting is a problem of its own for the report
+    answers = chosen.join(gold, DOC).select(
+        F.struct("problem", "family", "setting").alias("problem"), "doc_name", "gold", F.col("best.silver").alias("silver"))
+    scored = class_report(answers).groupBy("problem").agg(F.avg("f1").alias("f1")).select("problem.*", "f1")
+    order = Window.partitionBy("problem", "family").orderBy(F.desc("f1"), F.asc("setting"))
+    names = features.sparkSession.createDataFrame(
+        [(name, c, loss) for name, (c, loss) in grid.items()], "setting string, cost double, loss string")
+    return scored.withColumn("best", F.row_number().over(order) == 1).join(
+        F.broadcast(names), "setting").select("problem", "family", "cost", "loss", "f1", "best")
 
 
 def svd_reduce(vectors: DataFrame, k: int, whiten: bool = False) -> DataFrame:

@@ -91,11 +91,11 @@ def attribute(docs: DataFrame, stems: DataFrame | None = None, tags: DataFrame |
 
 
 def attribute_by_counts(known: DataFrame, unknown: DataFrame, n: int = 3, ft: int = 5,
-                        pt: float = 0.1, max_iter: int = M.SVM_ITERATIONS) -> DataFrame:
-    """Baseline: relative n-gram counts, scaled, calibrated linear SVM, simple reject rule."""
+                        pt: float = 0.1, c: float = 1.0, gamma: float | None = None) -> DataFrame:
+    """Baseline: relative n-gram counts, scaled, calibrated SVM with radial kernel, simple reject rule."""
     vocab = V.vocab_min_count(known, n, ft)
     docs = known.unionByName(unknown)
     counts = _named(V.count_by_length(docs, vocab, [n]), "counts")
     features = materialize(scaled(counts, known))
-    scores = M.multi_fit_predict(features, known, unknown, max_iter=max_iter)
+    scores = M.kernel_fit_predict(features, known, unknown, c=c, gamma=gamma)
     return D.answers_for(unknown, D.reject_gap(scores.drop("model"), pt))

@@ -1,5 +1,9 @@
-"""The feature recipe, and fitted models, whose numbers depend on the solver: those have no SQL
-counterpart."""
+"""The feature recipe, and fitted models.
+
+The numbers of a fitted model depend on its solver. Its queries return what must hold of them, and SQL
+says for which documents, candidates and splits: which pairs are scored, that scores of a document sum to
+one, that sigmoids have a flat loss, that answers are candidates, and that a separable target is learned.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from inkprint.queries import corpus as C
 from inkprint.queries.decisions import rounded
 from inkprint.queries.derived import STEM_SQL, TAGS_SQL, stems, tags
 from inkprint.queries.features import PROFILE_KEYS, PROFILES_SQL, USED_SQL, used
-from inkprint.queries.texts import MASK_SQL
+from inkprint.queries.texts import MASK_SQL, ORDINAL_SQL
 from inkprint.session import materialize
 
 QUERIES: dict[str, C.Query] = {}
@@ -31,34 +35,86 @@ def _parts(spark, sf):
     return d, C.known(d), C.unknown(d)
 
 
+def _shares(scores, *keys):
+    """Per document: its candidates, whether all shares are in order and sum to one."""
+    fine = F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1))
+    return scores.groupBy(*keys).agg(
+        F.countDistinct("author").alias("n_authors"), F.count("*").alias("n_scores"), fine.alias("in_range"),
+        F.round(F.sum("p"), 6).alias("sum_p"))
+
+
+def _shares_sql(source, models=("",), alias="problem, doc_name"):
+    """Every document of ``source`` with all candidates of its problem, for each model."""
+    rows = ", ".join(f"('{m}')" for m in models)
+    model = "" if models == ("",) else ", model"
+    return C.sql(
+        "candidates AS (SELECT DISTINCT problem, author FROM known)", f"""
+SELECT {alias}{model}, count(*) AS n_authors, count(*) AS n_scores, true AS in_range, 1.0::DOUBLE AS sum_p
+FROM {source} s JOIN candidates c USING (problem), (VALUES {rows}) AS m(model) GROUP BY ALL""")
+
+
 def svm_ovr(spark, sf):
     d, known, unknown = _parts(spark, sf)
-    return rounded(M.svm_ovr(_features(d), known, unknown), "margin", digits=4)
+    margins = M.svm_ovr(_features(d), known, unknown)
+    number = ~F.isnan("margin") & (F.abs("margin") < float("inf"))
+    return margins.groupBy("problem", "doc_name").agg(
+        F.countDistinct("author").alias("n_authors"), F.count("*").alias("n_margins"), F.bool_and(number).alias("finite"))
+
+
+ORACLES["svm_ovr"] = C.sql("candidates AS (SELECT DISTINCT problem, author FROM known)", """
+SELECT problem, doc_name, count(*) AS n_authors, count(*) AS n_margins, true AS finite
+FROM unknown JOIN candidates c USING (problem) GROUP BY ALL""")
 
 
 def calibrate_sigmoid(spark, sf):
+    """Both sums that are zero where the loss of a sigmoid is least, per candidate and split."""
     d, known, unknown = _parts(spark, sf)
     roles = materialize(M.calibration_roles(known, unknown))
-    return rounded(M.platt_scale(M.svm_margins(_features(d), known, roles)),
-                   "slope", "offset", digits=4)
+    margins = M.svm_margins(_features(d), known, roles).where("role = 'calibrate'")
+    keys = ["family", "problem", "author", "split"]
+    fitted = margins.join(M.platt_scale(margins), keys)
+    counts = fitted.groupBy(*keys).agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("slope") * F.col("margin") + F.col("offset"))))
+    target = F.when(F.col("hit") > 0, (F.col("pos") + 1) / (F.col("pos") + 2)).otherwise(1 / (F.col("neg") + 2))
+    sums = fitted.join(counts, keys).withColumn("e", p - target).groupBy("problem", "author", "split").agg(
+        F.count("*").alias("n_docs"), F.sum("e").alias("a"), F.sum(F.col("e") * F.col("margin")).alias("b"))
+    return sums.select("problem", "author", "split", "n_docs", ((F.abs("a") < 1e-4) & (F.abs("b") < 1e-4)).alias("flat"))
+
+
+ORACLES["calibrate_sigmoid"] = C.sql(
+    f"""folds AS (
+  SELECT problem, doc_name, (row_number() OVER (PARTITION BY problem, author ORDER BY {ORDINAL_SQL}) - 1) % 3 AS fold
+  FROM known)""", """
+SELECT problem, author, fold::INT AS split, n_docs, true AS flat
+FROM (SELECT problem, fold, count(*) AS n_docs FROM folds GROUP BY ALL)
+JOIN (SELECT problem, author, count(*) AS k FROM known GROUP BY ALL) USING (problem)
+WHERE k > 1 OR fold > 0  -- the only document of a candidate calibrates split 0 and leaves none to learn from""")
 
 
 def multi_fit_predict(spark, sf):
     d, known, unknown = _parts(spark, sf)
     features = _features(d).unionByName(_features(d, "char1", 1, 1))
-    return rounded(M.multi_fit_predict(features, known, unknown), "p", digits=4)
+    return _shares(M.multi_fit_predict(features, known, unknown), "problem", "doc_name", "model")
 
 
 def single_fit_predict(spark, sf):
     d, known, unknown = _parts(spark, sf)
-    return rounded(M.single_fit_predict(_features(d), known, unknown, "char2"),
-                   "p", digits=4)
+    return _shares(M.single_fit_predict(_features(d), known, unknown, "char2"), "problem", "doc_name")
 
 
 def svm_baseline(spark, sf):
+    """Whether every unknown document is answered once, by a candidate or by none."""
     _, known, unknown = _parts(spark, sf)
-    return ensemble.attribute_by_counts(known, unknown).select(
-        "problem", "doc_name", "predicted_author")
+    answers = ensemble.attribute_by_counts(known, unknown)
+    names = known.select("problem", F.col("author").alias("predicted_author"), F.lit(True).alias("named")).distinct()
+    return answers.join(names, ["problem", "predicted_author"], "left").groupBy("problem", "doc_name").agg(
+        F.count("*").alias("n_answers"),
+        F.bool_and(F.coalesce("named", F.col("predicted_author") == C.UNKNOWN)).alias("allowed"))
+
+
+ORACLES["multi_fit_predict"] = _shares_sql("unknown", ("char1", "char2"))
+ORACLES["single_fit_predict"] = _shares_sql("unknown")
+ORACLES["svm_baseline"] = C.sql("SELECT problem, doc_name, 1 AS n_answers, true AS allowed FROM unknown")
 
 
 def _languages(d):
@@ -125,7 +181,7 @@ def main_ensemble(spark, sf):
 
 def oof_predict(spark, sf):
     d, known, _ = _parts(spark, sf)
-    return rounded(M.oof_predict(_features(d), known), "p", digits=4)
+    return _shares(M.oof_predict(_features(d), known), "problem", "doc_name")
 
 
 def stacking(spark, sf):
@@ -133,7 +189,29 @@ def stacking(spark, sf):
     features = _features(d)
     train = materialize(M.oof_predict(features, known))
     test = M.multi_fit_predict(features, known, unknown)
-    return rounded(M.stacking(train, test, known), "p", digits=4)
+    return _shares(M.stacking(train, test, known), "problem", "doc_name").select("problem", "doc_name", "in_range", "sum_p")
+
+
+#: Which candidates score a document: those that some split of its outer fold learns, where documents are left to calibrate.
+OOF_SQL = [
+    f"""folds AS (
+  SELECT problem, doc_name, author,
+         (row_number() OVER (PARTITION BY problem, author ORDER BY {ORDINAL_SQL}) - 1) % 21 AS f FROM known)""",
+    "splits AS (SELECT o, i FROM range(7) AS a(o), range(3) AS b(i))",
+    "learned AS (SELECT DISTINCT problem, o, i, author FROM folds, splits WHERE f // 3 <> o AND f % 3 <> i)",
+    """usable AS (
+  SELECT problem, o, i FROM learned GROUP BY ALL HAVING count(*) > 1
+  INTERSECT SELECT problem, o, i FROM folds, splits WHERE f // 3 <> o AND f % 3 = i)""",
+    """scored AS (
+  SELECT DISTINCT d.problem, d.doc_name, t.author
+  FROM folds d JOIN usable u ON u.problem = d.problem AND u.o = d.f // 3 JOIN learned t USING (problem, o, i))""",
+]
+ORACLES["oof_predict"] = C.sql(*OOF_SQL, """
+SELECT problem, doc_name, count(*) AS n_authors, count(*) AS n_scores, true AS in_range, 1.0::DOUBLE AS sum_p
+FROM scored GROUP BY ALL""")
+ORACLES["stacking"] = C.sql(*OOF_SQL, """
+SELECT problem, doc_name, true AS in_range, 1.0::DOUBLE AS sum_p
+FROM unknown SEMI JOIN scored USING (problem)""")
 
 
 def _one_problem(spark, sf):
@@ -147,25 +225,46 @@ def _one_problem(spark, sf):
 
 
 def _dense(estimator, name):
+    """The separable target: documents scored, whether shares sum to one and nine in ten are right."""
     def run(spark, sf):
         vectors, known, unknown, size = _one_problem(spark, sf)
-        scores = M.fit_predict(estimator(size), vectors, known, unknown, name)
-        return rounded(scores, "p", digits=4)
+        scores = materialize(M.fit_predict(estimator(size), vectors, known, unknown, name))
+        best = scores.groupBy("doc_name").agg(F.sum("p").alias("sum_p"), F.max_by("author", "p").alias("silver"))
+        right = F.avg((F.col("silver") == F.col("author")).cast("double"))
+        return best.join(unknown.select("doc_name", "author"), "doc_name").agg(
+            F.count("*").alias("n_docs"), F.bool_and(F.abs(F.col("sum_p") - 1) < 1e-6).alias("shares"),
+            (right >= 0.9).alias("learned"))
 
     return run
 
 
+DENSE_SQL = C.sql("SELECT count(*) AS n_docs, true AS shares, true AS learned FROM unknown")
+
+
 def param_grid(spark, sf):
+    """Settings judged per problem, whether scores are in order, and how many are best."""
     d, known, _ = _parts(spark, sf)
-    return rounded(M.param_grid(_features(d), known), "f1", digits=4)
+    return M.param_grid(_features(d), known).groupBy("problem", "family").agg(
+        F.count("*").alias("n_settings"), F.bool_and((F.col("f1") >= 0) & (F.col("f1") <= 1)).alias("in_range"),
+        F.sum(F.col("best").cast("int")).alias("n_best"), (F.max("f1") == F.max(F.when(F.col("best"), F.col("f1")))).alias("largest"))
+
+
+ORACLES["param_grid"] = C.sql(
+    "SELECT DISTINCT problem, 'char2' AS family, 16 AS n_settings, true AS in_range, 1 AS n_best, true AS largest FROM known")
 
 
 def svd_reduce(spark, sf):
+    """Per component: documents, and whether whitened values have mean 0 and standard deviation 1."""
     vectors, _, _, _ = _one_problem(spark, sf)
     reduced = M.svd_reduce(vectors, 5, whiten=True)
-    # The sign of a component is arbitrary.
-    return reduced.select("problem", "doc_name", "component", F.round(F.abs("value"), 4).alias("value"),
-                          F.round("explained", 4).alias("explained"))
+    return reduced.groupBy("problem", "component").agg(
+        F.count("*").alias("n_docs"), (F.abs(F.stddev_samp("value") - 1) < 1e-6).alias("unit"),
+        (F.min("explained") == F.max("explained")).alias("one_share"))
+
+
+ORACLES["svd_reduce"] = C.sql("""
+SELECT 'language' AS problem, c::INT AS component, (SELECT count(*) FROM corpus) AS n_docs, true AS unit, true AS one_share
+FROM range(5) AS r(c)""")
 
 
 for query in (svm_ovr, calibrate_sigmoid, multi_fit_predict, single_fit_predict, svm_baseline,
@@ -174,3 +273,4 @@ for query in (svm_ovr, calibrate_sigmoid, multi_fit_predict, single_fit_predict,
 QUERIES["mlp"] = _dense(lambda size: M.mlp(size, 4), "mlp")
 QUERIES["random_forest"] = _dense(lambda size: M.random_forest(), "random_forest")
 QUERIES["boosted"] = _dense(lambda size: M.boosted(), "boosted")
+ORACLES |= dict.fromkeys(("mlp", "random_forest", "boosted"), DENSE_SQL)
