@@ -87,8 +87,10 @@ ORACLES["calibrate_sigmoid"] = C.sql(
   FROM known)""", """
 SELECT problem, author, fold::INT AS split, n_docs, true AS flat
 FROM (SELECT problem, fold, count(*) AS n_docs FROM folds GROUP BY ALL)
-JOIN (SELECT problem, author, count(*) AS k FROM known GROUP BY ALL) USING (problem)
-WHERE k > 1 OR fold > 0  -- the only document of a candidate calibrates split 0 and leaves none to learn from""")
+JOIN (SELECT *, count(*) FILTER (k > 1) OVER (PARTITION BY problem) AS many
+      FROM (SELECT problem, author, count(*) AS k FROM known GROUP BY ALL)) USING (problem)
+-- the only document of a candidate calibrates split 0 and leaves none to learn from; a task needs two candidates
+WHERE fold > 0 OR k > 1 AND many > 1""")
 
 
 def multi_fit_predict(spark, sf):
@@ -204,7 +206,8 @@ OOF_SQL = [
   INTERSECT SELECT problem, o, i FROM folds, splits WHERE f // 3 <> o AND f % 3 = i)""",
     """scored AS (
   SELECT DISTINCT d.problem, d.doc_name, t.author
-  FROM folds d JOIN usable u ON u.problem = d.problem AND u.o = d.f // 3 JOIN learned t USING (problem, o, i))""",
+  FROM folds d JOIN usable u ON u.problem = d.problem AND u.o = d.f // 3
+  JOIN learned t ON t.problem = u.problem AND t.o = u.o AND t.i = u.i)""",
 ]
 ORACLES["oof_predict"] = C.sql(*OOF_SQL, """
 SELECT problem, doc_name, count(*) AS n_authors, count(*) AS n_scores, true AS in_range, 1.0::DOUBLE AS sum_p
