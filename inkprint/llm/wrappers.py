@@ -40,6 +40,12 @@ WORDS = set(
     "footer header menu modal nav navbar navigation newsletter notice notices popup promo related share sharing "
     "sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that name a part's shape or place and say nothing about what it holds.
+SHAPES = set(
+    "area bar bars block box btn button buttons col column container content count counter entry form group head holder icon icons "
+    "inner item items label left line link links list main message meta module outer panel part post posts reader right row "
+    "section site slot stories text this thread title top bottom unit user wrap wrapper zone".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table body html article main section div".split())
@@ -52,7 +58,7 @@ SLOT = "#"
 DEPTH = 60
 PERIOD = 4
 SALTS = 16
-#: A text of a slot is the host's own if it stands on this share of its different pages, and so many.
+#: A text outside main regions is the host's own if its slot holds it on this share of the different pages, and on so many.
 CONSTANT = 0.5
 MIN_PAGES = 4
 #: An element that holds this share of the host's other text is not dropped for its name or words.
@@ -83,15 +89,22 @@ def stream(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def symbol(name: str, words: str) -> str:
-    """Element name, with the telling words of its class, id and role."""
+    """Element name, with the telling words of its class, id and role: behind a dot where they stand for
+    themselves or with words of shape, behind a tilde where they are part of another name."""
     if not words or name in ("html", "body") or name in MAIN:
         return name
-    told = sorted(set(re.split(r"[^a-z0-9]+", words)) & WORDS)
-    return ".".join([name, *told]) if told else name
+    parts = [[w for w in re.split(r"[^a-z0-9]+", token) if w] for token in words.split()]
+    told = {w for own in parts if all(w in WORDS or w in SHAPES or w.isdigit() for w in own) for w in own} & WORDS
+    if told:
+        return ".".join([name, *sorted(told)])
+    hinted = sorted({w for own in parts for w in own} & WORDS)
+    return "~".join([name, *hinted]) if hinted else name
 
 
-def is_dropped(sym: str) -> bool:
-    return "." in sym or sym in DROPPED
+def is_dropped(sym: str, state: int = 0) -> bool:
+    """Whether an element and all in it goes; inside the main region (``state`` 1) a mere hint isn't enough."""
+    name, _, hint = sym.partition("~")
+    return "." in sym or name in DROPPED or bool(hint) and state < 1
 
 
 def walk(page: str) -> Iterator[tuple[str, str]]:
@@ -237,7 +250,7 @@ def labelled(wrapper: list, held: frozenset = frozenset()) -> dict:
                 label(child, state, path, into)
             elif child[0] != SLOT:
                 here = f"{path}>{child[0]}"
-                dropped = is_dropped(child[0]) and not (state == 0 and here in held)
+                dropped = is_dropped(child[0], state) and not (state == 0 and here in held)
                 own = -1 if state < 0 or dropped else 1 if state or child[0] in MAIN else 0
                 label(child, own, here, into.setdefault(child[0], {"": own}))
 
@@ -276,8 +289,9 @@ def slot_key(path: list[str], text: str) -> int:
 def extract(page: str, labels: dict, constant: frozenset = frozenset()) -> str:
     """Texts of the page's main region, one line per block; of the whole body if the page has none.
 
-    Texts of ``constant`` slots go, unless they are over half of the page: then pages are copies of each
-    other rather than filled into one frame."""
+    Inside a main region nothing goes for being constant. In a page without one the texts of ``constant`` slots
+    go, unless they are over half of the page: then pages are copies of each other rather than filled into
+    one frame."""
     inside: list[tuple[str, bool]] = []
     outside: list[tuple[str, bool]] = []
     run: list[str] = []
@@ -302,7 +316,7 @@ def extract(page: str, labels: dict, constant: frozenset = frozenset()) -> str:
             below = here.get(value)
             if below is None:  # below the depth that wrappers describe
                 state = here[""]
-                below = {"": -1 if state < 0 or is_dropped(value) else 1 if state or value in MAIN else 0}
+                below = {"": -1 if state < 0 or is_dropped(value, state) else 1 if state or value in MAIN else 0}
             found = found or below[""] == 1
             stack.append(below)
             path.append(value)
@@ -311,7 +325,7 @@ def extract(page: str, labels: dict, constant: frozenset = frozenset()) -> str:
             path.pop()
     flush()
     kept = inside if found else outside
-    if 2 * sum(len(t) for t, own in kept if own) <= sum(len(t) for t, _ in kept):
+    if not found and 2 * sum(len(t) for t, own in kept if own) <= sum(len(t) for t, _ in kept):
         kept = [x for x in kept if not x[1]]
     return "\n".join(t for t, _ in kept)
 

@@ -79,8 +79,20 @@ def test_the_host_decides(spark):
     got = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
     for k in range(6):
         assert got[k] == f"Story number {k} is told here at some length."
-        assert got[10 + k] == f"Report {k} has these words in it, and more."
+        assert got[10 + k] == f"Report {k} has these words in it, and more.\nFollow us"  # an article keeps all its text
         assert got[20 + k] == f"Page {k} stands in a form as a whole."
         assert got[30 + k] == f"A long text that is nearly the same on all of the pages.\nNo {k}"
         assert got[40 + k] == "One page, many times."
     assert got[50] == "Home\nAbout\nStory 0\nAll rights reserved."
+
+
+def test_main_region_keeps_what_repeats_and_what_a_word_hints_at(spark):
+    """An opening paragraph of all pages of a host stays in the article, and so does a section on related work."""
+    def page(k):
+        return (f'<nav>menu</nav><div class="notice-bar">closed</div><article><p>Breaking news from town today</p><p>own text {k}</p>'
+                f'<section class="related-work"><p>work of others {k}</p></section><div class="comment-list"><p>hello</p></div>'
+                f'<div id="share this">tell</div></article><div class="sidebar-left">side</div>')
+
+    rows = [(k, "http://h.org/x", page(k)) for k in range(6)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Breaking news from town today\nown text {k}\nwork of others {k}" for k in range(6)}
