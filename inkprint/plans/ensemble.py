@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,38 +40,36 @@ def feature_recipe(docs: DataFrame, stems: DataFrame | None = None,
     """
     known = docs.where("split = 'known'")
     stemmed = docs if stems is None else materialize(stem_tokens(docs, stems))
-    families = [_named(_fitted(docs, V.chars(3, 5), 0.12), "char")]
-    families.append(_named(_fitted(stemmed, V.words(1, 3, T.default_tokens), 0.03), "word"))
-
+    made: list[Callable[[], DataFrame]] = [
+        lambda: _named(_fitted(docs, V.chars(3, 5), 0.12), "char"),
+        lambda: _named(_fitted(stemmed, V.words(1, 3, T.default_tokens), 0.03), "word"),
+    ]
     masked_sizes = F.col("language").isin(list(MASKED_RANGE))
     for rows, (low, high) in (
         *[(F.col("language") == name, sizes) for name, sizes in MASKED_RANGE.items()],
         (~masked_sizes, MASKED_DEFAULT),
     ):
-        part = _fitted(docs.where(rows), V.chars(low, high, T.distort), 0.12)
-        families.append(_named(part, "masked"))
+        made.append(lambda rows=rows, low=low, high=high: _named(
+            _fitted(docs.where(rows), V.chars(low, high, T.distort), 0.12), "masked"))
 
-    profile = V.hstack({
-        "c": V.fit_profile_chars(known).transform(docs),
-        "w": V.fit_profile_words(known).transform(stemmed),
-    })
-    families.append(_named(profile, "profile"))
+    def stacked(family: str, **parts: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: _named(V.hstack({name: part() for name, part in parts.items()}), family)
 
+    made.append(stacked(
+        "profile", c=lambda: V.fit_profile_chars(known).transform(docs),
+        w=lambda: V.fit_profile_words(known).transform(stemmed)))
     paired = stemmed.where(F.col("language").isin(list(WORD_PAIR_LANGUAGES)))
-    families.append(_named(V.hstack({
-        "w1": _fitted(paired, V.words(1, 1, T.default_tokens), 0.03),
-        "w2": _fitted(paired, V.words(2, 2, T.default_tokens), 0.03),
-    }), "word_pair"))
-
+    made.append(stacked(
+        "word_pair", w1=lambda: _fitted(paired, V.words(1, 1, T.default_tokens), 0.03),
+        w2=lambda: _fitted(paired, V.words(2, 2, T.default_tokens), 0.03)))
     if tags is not None:
         wanted = docs.where(F.col("language").isin(list(TAG_LANGUAGES))).drop("text")
-        tagged = materialize(wanted.join(tag_strings(tags), V.DOC))
-        families.append(_named(_fitted(tagged, V.chars(4, 5), 0.12), "tag"))
+        made.append(lambda: _named(
+            _fitted(materialize(wanted.join(tag_strings(tags), V.DOC)), V.chars(4, 5), 0.12), "tag"))
 
-    out = families[0]
-    for family in families[1:]:
-        out = out.unionByName(family)
-    return out
+    # Fitting a family runs jobs of its own that don't wait for the others'.
+    with ThreadPool(len(made)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda make: make(), made))
 
 
 def scaled(features: DataFrame, known: DataFrame) -> DataFrame:
