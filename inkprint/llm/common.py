@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.session import materialize
@@ -88,6 +89,13 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in columns or df.columns])
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles that no table needs any more: it does so when the driver's
+    memory is collected, which may be long after a large step is done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable ``node`` of every node that has a link: (node, root).
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import bounds, held_out, plain, slices, sums, words_of
+from inkprint.llm.common import bounds, held_out, let_go, plain, slices, sums, words_of
 from inkprint.llm.eliasfano import EliasFano
 from inkprint.session import default_partitions, materialize
 
@@ -36,7 +36,11 @@ SHARE = 0.0
 #: A trie made by ``build`` holds 2**WORD_BITS entries a level at most.
 WORD_BITS = 22
 CODES = 4096
-SLICE = 4 << 20
+SLICE = 8 << 20
+#: Words that are sent as numbers, the most frequent first; others are sent as their hashes.
+NUMBERED = 1 << 20
+#: A slice names a word for that list if it holds it so often.
+REPEATED = 4
 #: Buckets to a shuffle partition; share of the tokens from which a context goes to all buckets.
 SPREAD = 4
 HOT = 2.0**-11
@@ -260,6 +264,16 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2**24 as their low, middle and high bytes, which compress better apart."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def _squeezed(parts: list[bytes]) -> bytes:
+    whole = b"".join(parts)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
 def _small(values: np.ndarray) -> bytes:
     """Counts in a byte each, those from 255 on behind them in eight."""
     values = values.astype(np.int64)
@@ -267,14 +281,21 @@ def _small(values: np.ndarray) -> bytes:
 
 
 class _Reader:
+    """Reads what ``_squeezed`` holds."""
+
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+        self.at = 0
 
     def take(self, kind, n: int) -> np.ndarray:
         out = np.frombuffer(self.data, kind, n, self.at)
         self.at += out.nbytes
         return out
 
+    def planes(self, n: int) -> np.ndarray:
+        low, middle, high = self.take(np.uint8, 3 * n).reshape(3, n).astype(np.int64)
+        return low | middle << 8 | high << 16
+
     def small(self, n: int) -> np.ndarray:
         out = self.take(np.uint8, n).astype(np.int64)
         large = out == 255
@@ -286,71 +307,81 @@ class _Slice:
     """The n-grams of some texts, and how they are dealt to buckets.
 
     ``contexts`` are all words and n-grams below the highest order, in levels; ``at[m]`` numbers the
-    n-gram of m + 1 words that ends at each place inside its level, -1 for none. Pairs are a context and
-    the word after it. An entry is a context in a bucket: each has one in its own bucket, and hot ones
-    one in every bucket that gets a pair of theirs.
+    n-gram of m + 1 words that ends at each place inside its level, -1 for none. A context stands in the
+    bucket of the context before its last word, so that it tells what follows that one; behind a hot
+    context each is dealt by itself. Pairs, a context and the word after it, are those of the highest order. An
+    entry is a context in a bucket: its own, and for a hot one also every bucket that gets a pair of it.
     """
 
     def __init__(self, names, places, per, held, order: int, hot: np.ndarray, buckets: int):
         self.places, self.ends, size = places, bounds(per), len(names)
+        whole = np.uint64(buckets)
+        deal = lambda h: ((h >> np.uint64(32)) * whole >> np.uint64(32)).astype(np.int64)
         first, train = self.ends[:-1], np.repeat(~held, per)
         hashes, self.at, counts = names, [places], [np.bincount(places[train], minlength=size)]
-        self.base, contexts, before, after, times = [0], [names], [], [], []
+        self.names, self.base, contexts, bucket_of = names, [0], [names], [deal(names)]
+        self.spelled = [np.arange(size, dtype=np.int32)[:, None]]  # the words of the contexts of each level
+        is_hot, context, word, times = np.isin(names, hot), None, None, None
         for level in range(1, order):
-            context = Trie._before(self.at[-1], first)
-            where = np.flatnonzero(context >= 0)
-            keys, number = np.unique(context[where] * size + places[where], return_inverse=True)
+            before = Trie._before(self.at[-1], first)
+            where = np.flatnonzero(before >= 0)
+            keys, number = np.unique(before[where] * size + places[where], return_inverse=True)
             now = np.full(len(places), -1, dtype=np.int64)
             now[where] = number
             self.at.append(now)
-            before.append(keys // size + self.base[-1])
-            after.append(names[keys % size])
-            times.append(np.bincount(number[train[where]], minlength=len(keys)))
-            hashes = _mixed(hashes[keys // size], after[-1])
+            context, word = np.divmod(keys, size)
+            times = np.bincount(number[train[where]], minlength=len(keys))
             self.base.append(self.base[-1] + len(contexts[-1]))
             if level < order - 1:
+                hashes = _mixed(hashes[context], names[word])
                 contexts.append(hashes)
-                counts.append(times[-1])
+                counts.append(times)
+                bucket_of.append(np.where(is_hot[context], deal(hashes), bucket_of[-1][context]))
+                is_hot = np.isin(hashes, hot)
+                self.spelled.append(np.column_stack([self.spelled[-1][context], word.astype(np.int32)]))
         self.words, self.contexts, self.counts = size, np.concatenate(contexts), np.concatenate(counts)
         self.hot = np.isin(self.contexts, hot)
-        whole = np.uint64(buckets)
-        deal = lambda h: ((h >> np.uint64(32)) * whole >> np.uint64(32)).astype(np.int64)
         n = len(self.contexts)
-        own = deal(self.contexts) * n + np.arange(n)
-        if before:
-            context, word, times = np.concatenate(before), np.concatenate(after), np.concatenate(times)
-            top = np.arange(len(context)) >= len(context) - len(before[-1])
+        own = np.concatenate(bucket_of) * n + np.arange(n)
+        if context is None:
+            keys = self.pair_times = self.pair_number = self.pair_word = np.zeros(0, dtype=np.int64)
+        else:
+            spread, context = np.flatnonzero(is_hot[context]), context + self.base[-2]
             bucket = own[context] // n
-            spread = np.flatnonzero(self.hot[context])
-            bucket[spread] = deal(_mixed(self.contexts[context[spread]], word[spread]))
+            bucket[spread] = deal(_mixed(self.contexts[context[spread]], names[word[spread]]))
             keys = bucket * n + context
-            order_of = np.argsort(keys, kind="stable")
-            keys, self.pair_word, self.pair_times = keys[order_of], word[order_of], times[order_of]
-            self.pair_top, self.pair_number = top[order_of], order_of - (len(context) - len(before[-1]))
-        else:
-            keys = self.pair_times = self.pair_number = np.zeros(0, dtype=np.int64)
-            self.pair_word, self.pair_top = np.zeros(0, np.uint64), np.zeros(0, bool)
+            self.pair_number = np.argsort(keys, kind="stable")
+            keys, self.pair_word, self.pair_times = (x[self.pair_number] for x in (keys, word, times))
         entries = np.unique(np.concatenate([own, keys]))
         self.bucket, self.context = np.divmod(entries, n)
         self.home = np.searchsorted(entries, own)
         self.pairs = np.bincount(np.searchsorted(entries, keys), minlength=len(entries))
 
-    def asks(self) -> Iterator[tuple[int, bytes]]:
-        """Each bucket and what it is asked: numbers of entries, words among them, pairs and pairs of the
-        highest order, then the entries, words first, and the pairs of each, highest order last."""
+    def asks(self, numbered: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Each bucket and what it is asked: entries of each level, pairs, words that are spelled as hashes; then the words
+        of the entries, level by level and place by place, and of the pairs, as numbers; those
+        hashes; and the counts of the entries, their pairs and these pairs' counts.
+        ``numbered`` are the hashes of the words that have one, in order, ``numbers`` these numbers from 1."""
+        at = np.searchsorted(numbered, self.names)
+        at[at == len(numbered)] = 0
+        number = np.where(numbered[at] == self.names, numbers[at], 0) if len(numbered) else np.zeros(len(self.names), np.int64)
         counts = np.zeros(len(self.context), dtype=np.int64)
         counts[self.home] = self.counts
         cuts = np.append(np.flatnonzero(np.diff(self.bucket, prepend=-1)), len(self.bucket))
-        ends = bounds(self.pairs)
-        word = self.pair_word >> np.uint64(64 - NEXT_BITS)
+        ends, levels = bounds(self.pairs), np.append(self.base[: len(self.spelled)], len(self.contexts))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             p = slice(ends[a], ends[b])
-            head = [b - a, (self.context[a:b] < self.words).sum(), ends[b] - ends[a], self.pair_top[p].sum()]
-            yield int(self.bucket[a]), b"".join([
-                np.array(head, dtype=np.int64).tobytes(), self.contexts[self.context[a:b]].tobytes(),
-                (word[p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                (word[p] >> np.uint64(32)).astype(np.uint16).tobytes(),
-                _small(counts[a:b]), _small(self.pairs[a:b]), _small(self.pair_times[p]),
+            by_level = np.searchsorted(self.context[a:b], levels) + a
+            words = [
+                column for spelled, base, x, y in zip(self.spelled, levels, by_level[:-1], by_level[1:])
+                for column in spelled[self.context[x:y] - base].T
+            ] + [self.pair_word[p]]
+            rare = np.concatenate([w[number[w] == 0] for w in words])
+            head = [len(self.spelled), *np.diff(by_level), ends[b] - ends[a], len(rare)]
+            # only contexts of the last level have pairs
+            yield int(self.bucket[a]), _squeezed([
+                np.array(head, dtype=np.int64).tobytes(), *(_planes(number[w]) for w in words), self.names[rare].tobytes(),
+                _small(counts[a:b]), _small(self.pairs[by_level[-2] : b]), _small(self.pair_times[p]),
             ])
 
     def told(self, answers: list[bytes], known: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -368,7 +399,7 @@ class _Slice:
         for x, name in zip(sums_of, ("n", "kinds", "dropped")):
             x[self.hot] = known[name][at]
         grams = np.zeros(len(high), dtype=np.int64)
-        grams[self.pair_number[self.pair_top]] = high
+        grams[self.pair_number] = high
         return (*sums_of, grams)
 
     def scores(self, count, kinds, dropped, grams, total: int, words: int, least: int) -> tuple[np.ndarray, ...]:
@@ -389,50 +420,90 @@ class _Slice:
         return seen > 0, np.log10(base), np.log10(prob)
 
 
-def _answers(asked: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
+@dataclass
+class _Asked:
+    """What a slice asks a bucket, in hashes: ``before`` and ``last`` cut the contexts of more than one word."""
+
+    words: int
+    contexts: np.ndarray
+    before: np.ndarray
+    last: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    following: np.ndarray
+    times: np.ndarray
+
+    @staticmethod
+    def of(data: bytes, by_number: np.ndarray) -> _Asked:
+        read = _Reader(data)
+        levels = int(read.take(np.int64, 1)[0])
+        *sizes, pairs, rare = read.take(np.int64, levels + 2).tolist()
+        numbers = [read.planes(n) for level, n in enumerate(sizes) for _ in range(level + 1)] + [read.planes(pairs)]
+        left, made = read.take(np.uint64, rare), []
+        for number in numbers:
+            hashes = by_number[number]
+            gone = np.flatnonzero(number == 0)
+            hashes[gone], left = left[: len(gone)], left[len(gone) :]
+            made.append(hashes)
+        contexts, before, last, at = [made[0]], [made[0][:0]], [made[0][:0]], 1
+        for level in range(1, levels):
+            now = made[at]
+            for column in made[at + 1 : at + level]:
+                now = _mixed(now, column)
+            before.append(now)
+            last.append(made[at + level])
+            contexts.append(_mixed(now, last[-1]))
+            at += level + 1
+        counts, n = read.small(sum(sizes)), np.zeros(sum(sizes), dtype=np.int64)
+        n[len(n) - sizes[-1] :] = read.small(sizes[-1])
+        return _Asked(
+            sizes[0], np.concatenate(contexts), np.concatenate(before), np.concatenate(last), counts, n, made[-1],
+            read.small(pairs),
+        )
+
+
+def _answers(asked: pa.Table, least: int, hot: np.ndarray, by_number: np.ndarray) -> pa.Table:
     """What a bucket tells each slice: count of each context in training texts, kinds of words behind
     it, tokens of it without a counted word behind them; counts of the n-grams of the highest order.
 
     The trie of a bucket: contexts are numbered, and a level holds context and next word. Rows
     without a slice have the sums of hot contexts, and for context null the number of words."""
-    heads, contexts, nexts, counts, pairs, times, is_word = [], [], [], [], [], [], []
-    for data in asked.column("ask").to_pylist():
-        read = _Reader(data)
-        n, words, m, top = read.take(np.int64, 4).tolist()
-        heads.append((n, m, top))
-        contexts.append(read.take(np.uint64, n))
-        low = read.take(np.uint32, m).astype(np.uint64)
-        nexts.append(low | read.take(np.uint16, m).astype(np.uint64) << np.uint64(32))
-        counts.append(read.small(n))
-        pairs.append(read.small(n))
-        times.append(read.small(m))
-        is_word.append(np.arange(n) < words)
-    names, number = np.unique(np.concatenate(contexts), return_inverse=True)
-    size = len(names)
-    count = np.bincount(number, np.concatenate(counts), size).astype(np.int64)
+    asks = [_Asked.of(data, by_number) for data in asked.column("ask").to_pylist()]
+    joined = lambda name: np.concatenate([getattr(a, name) for a in asks])
+    mine = joined("contexts")
+    names, number = np.unique(np.concatenate([mine, joined("before")]), return_inverse=True)
+    size, number, parent = len(names), number[: len(mine)], number[len(mine) :]
+    counts = joined("counts")
+    count = np.bincount(number, counts, size).astype(np.int64)
     width = min(NEXT_BITS, 64 - size.bit_length())
-    keys = np.repeat(number.astype(np.uint64), np.concatenate(pairs)) << np.uint64(width)
-    keys |= np.concatenate(nexts) >> np.uint64(NEXT_BITS - width)
-    times = np.concatenate(times)
+
+    def gram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return context.astype(np.uint64) << np.uint64(width) | word >> np.uint64(64 - width)
+
+    # what follows a context: longer contexts, and the pairs of those of the last level
+    keys = gram_keys(np.repeat(number, joined("pairs")), joined("following"))
+    longer = np.concatenate([a.counts[a.words :] for a in asks])
+    told, times = np.concatenate([gram_keys(parent, joined("last")), keys]), np.concatenate([longer, joined("times")])
     trained = np.flatnonzero(times)
-    grams, gram = np.unique(keys[trained], return_inverse=True)
+    grams, gram = np.unique(told[trained], return_inverse=True)
     n = np.bincount(gram, times[trained], len(grams)).astype(np.int64)
     grams, n = grams[n >= least], n[n >= least]
     level, above = EliasFano.of(grams), (grams >> np.uint64(width)).astype(np.int64)
     kinds = np.bincount(above, minlength=size)
     dropped = count - np.bincount(above, n, size).astype(np.int64)
     made, a, p = [], 0, 0
-    for entries, m, top in heads:
-        at = level.find(keys[p + m - top : p + m])
-        high = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(top, dtype=np.int64)
+    for ask in asks:
+        entries, m = len(ask.contexts), len(ask.following)
+        at = level.find(keys[p : p + m])
+        high = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(m, dtype=np.int64)
         own = number[a : a + entries]
         # a hot context has its sums from all buckets, which may be negative in one
-        made.append(np.array([entries, top], dtype=np.int64).tobytes() + b"".join(
+        made.append(_squeezed([np.array([entries, m], dtype=np.int64).tobytes(), *(
             _small(x) for x in (count[own], kinds[own], np.maximum(dropped[own], 0), high)
-        ))
+        )]))
         a, p = a + entries, p + m
     known = np.flatnonzero(np.isin(names, hot))
-    words = np.unique(number[np.concatenate(is_word)])
+    words = np.unique(number[np.concatenate([np.arange(len(a.contexts)) < a.words for a in asks])])
     more = len(known) + 1
     def column(kind, own, extra):
         return pa.concat_arrays([pa.nulls(len(made), kind), pa.array([*own.tolist(), extra], kind)])
@@ -489,18 +560,45 @@ def _tokenised(part: pa.RecordBatch, order: int) -> tuple:
         [part.column("id"), part.column("held_out"), pa.array(per)], names=["id", "held_out", "n_tokens"]
     )
     often, n = _frequent_contexts(names, places, per, held, order)
+    # the most frequent words first: their places are small numbers
+    times = np.bincount(places, minlength=len(names))
+    by_times = np.argsort(-times, kind="stable")
+    number = np.empty(len(names), dtype=np.int64)
+    number[by_times] = np.arange(len(names))
+    names, times = names[by_times], times[by_times]
+    repeated = times >= REPEATED
     return (
-        _packed(rows), _packed(pa.RecordBatch.from_arrays([pa.array(names)], names=["x"])),
-        _packed(pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32))], names=["x"])),
-        int(per[~held].sum()), often.astype(np.int64), n,
+        _packed(rows), names.tobytes(), _squeezed([_planes(number[places])]),
+        int(per[~held].sum()), often.astype(np.int64), n, names[repeated].astype(np.int64), times[repeated],
     )
 
 
+def _numbered(cuts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of at most NUMBERED frequent words in order, their numbers from 1, and hashes by number. How a
+    word is sent doesn't change what is counted."""
+    words = cuts.select(F.explode(F.arrays_zip("words", "times_of")).alias("z")).groupBy("z.words").agg(
+        F.sum("z.times_of").alias("n"))
+    words = materialize(words)
+    sizes = sorted(((r["n"], r["count"]) for r in words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()), reverse=True)
+    least, room = None, NUMBERED
+    for n, count in sizes:
+        if count > room:
+            break
+        least, room = n, room - count
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
+    rows = words.where(F.col("n") >= least).toArrow()
+    hashes, n = np.asarray(rows["words"]).astype(np.uint64), np.asarray(rows["n"])
+    by_number = hashes[np.lexsort((hashes, -n))]
+    order = np.argsort(by_number)
+    return by_number[order], order + 1, np.concatenate([np.zeros(1, np.uint64), by_number])
+
+
 def _slice_of(row: dict, order: int, hot: np.ndarray, buckets: int) -> tuple[pa.RecordBatch, _Slice]:
     rows = _unpacked(row["rows"])
-    names, places = (np.asarray(_unpacked(row[k]).column(0)) for k in ("names", "places"))
     per, held = np.asarray(rows.column("n_tokens")), rows.column("held_out").to_numpy(zero_copy_only=False)
-    return rows, _Slice(names, places.astype(np.int64), per, held, order, hot, buckets)
+    names, places = np.frombuffer(row["names"], dtype=np.uint64), _Reader(row["places"]).planes(int(per.sum()))
+    return rows, _Slice(names, places, per, held, order, hot, buckets)
 
 
 def score_texts(
@@ -523,14 +621,16 @@ def score_texts(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
             made = _tokenised(part, order)
-            kinds = [pa.binary()] * 3 + [pa.int64()] + [pa.list_(pa.int64())] * 2
+            kinds = [pa.binary()] * 3 + [pa.int64()] + [pa.list_(pa.int64())] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(made, kinds)], names=["rows", "names", "places", "n", "often", "times"]
+                [pa.array([x], k) for x, k in zip(made, kinds)],
+                names=["rows", "names", "places", "n", "often", "times", "words", "times_of"],
             )
 
     # written out, so that the numbers given to slices stay the same when a task is run again
     cuts = materialize(rows.mapInArrow(
-        cut, "rows binary, names binary, places binary, n long, often array<long>, times array<long>"
+        cut, "rows binary, names binary, places binary, n long, often array<long>, times array<long>, "
+        "words array<long>, times_of array<long>"
     ).withColumn("slice", F.monotonically_increasing_id()))
     total = cuts.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(1, ceil(share * total))
@@ -541,21 +641,26 @@ def score_texts(
     often = often.where(F.col("n") >= max(1, HOT * total)).select("often").toArrow()
     hot = np.sort(np.asarray(often.column("often"), dtype=np.int64).astype(np.uint64))
 
+    numbered = spark.sparkContext.broadcast(_numbered(cuts))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.slice(row, 1).to_pylist()[0]
-                asks = list(_slice_of(own, order, hot, buckets)[1].asks())
+                asks = list(_slice_of(own, order, hot, buckets)[1].asks(*numbered.value[:2]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([own["slice"]] * len(asks), pa.int64()), pa.array([b for b, _ in asks], pa.int64()),
                      pa.array([x for _, x in asks], pa.binary())], names=["slice", "bucket", "ask"],
                 )
 
-    asked = cuts.select("slice", "rows", "names", "places").mapInArrow(ask, "slice long, bucket long, ask binary")
-    answers = materialize(asked.groupBy("bucket").applyInArrow(
-        lambda table: _answers(table, least, hot),
-        "slice long, bucket long, answer binary, context long, n long, kinds long, dropped long",
-    ))
+    answers = materialize(
+        cuts.select("slice", "rows", "names", "places").mapInArrow(ask, "slice long, bucket long, ask binary")
+        .groupBy("bucket").applyInArrow(
+            lambda table: _answers(table, least, hot, numbered.value[2]),
+            "slice long, bucket long, answer binary, context long, n long, kinds long, dropped long",
+        )
+    )
+    let_go(spark)  # of what was asked: the answers are written out
     known = answers.where("slice is null").groupBy("context").agg(
         *(F.sum(c).alias(c) for c in ("n", "kinds", "dropped"))
     ).toArrow().to_pylist()
