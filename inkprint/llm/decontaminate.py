@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import buffers, bounds, plain, slices
+from inkprint.llm.vectors import arrow_schema
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,7 +166,7 @@ def find_passages(
 
         return docs.select(id_col, text_col).mapInArrow(work, schema)
 
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+    item_type = arrow_schema(docs, schema).field(item_col).type
     found = [search(b) for b in blocks(items, item_col, item_text, width, similarity)]
     return reduce(DataFrame.union, found)
 

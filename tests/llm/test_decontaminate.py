@@ -54,3 +54,11 @@ def test_pairs_and_kept_documents(spark, monkeypatch):
         assert kept.columns == left.columns
     assert decontaminate.find_passages(left, right.limit(0)).count() == 0
     assert decontaminate.find_passages(left.limit(0), right).count() == 0
+
+
+def test_items_of_any_kind_of_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    for kind in ("smallint", "int", "string", "decimal(5,0)"):
+        items = spark.createDataFrame([("7", "b c d e f")], "i string, text string").selectExpr(f"CAST(i AS {kind}) AS item_id", "text")
+        got = decontaminate.find_passages(docs, items)
+        assert got.schema["item_id"].dataType.simpleString() == kind and [str(r.item_id) for r in got.collect()] == ["7"]
