@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,6 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +40,8 @@ IN_PLACE_DOCS = dual.GROUP_ROWS
 IN_PLACE_MARGINS = 200_000
 #: How close margins are solved: a relative duality gap, made exact for the squared hinge loss.
 SOLVED_GAP = 1e-6
+#: Scores of a problem whose second-level regression is solved in one task, and steps of that.
+STACK_CELLS, STACK_ITERATIONS = 4_000_000, 1000
 # The costs, losses and the number of folds of the published grid.
 COSTS = (0.0001, 0.001, 0.01, 0.5, 1.0, 5.0, 10.0, 20.0)
 LOSSES = (dual.HINGE, dual.SQUARED)
@@ -381,10 +381,41 @@ def oof_predict(features: DataFrame, known: DataFrame, outer: int = 7, inner: in
     return calibrated_scores(svm_margins(features, known, roles, c, max_iter))
 
 
+def _multinomial(x: np.ndarray, label: np.ndarray, classes: int, reg: float, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, offsets) that minimise the mean log loss plus reg / 2 times the squared weights of
+    features divided by their standard deviation; constant features have no weight."""
+    n, size = x.shape
+    spread = x.std(axis=0, ddof=1) if n > 1 else np.zeros(size)
+    scale = np.where(spread > 0, 1 / np.where(spread > 0, spread, 1.0), 0.0)
+    z = np.column_stack([x * scale, np.ones(n)])
+    hit = np.zeros((n, classes))
+    hit[np.arange(n), label] = 1.0
+    free = np.ones(size + 1)
+    free[-1] = 0.0  # the offset isn't penalised
+    state = svm.Descent((size + 1) * classes, 1)
+    for _ in range(max_iter):
+        w = state.trial[:, 0].reshape(size + 1, classes)
+        f = z @ w
+        top = f.max(axis=1, keepdims=True)
+        odds = np.exp(f - top)
+        total = odds.sum(axis=1, keepdims=True)
+        loss = (np.log(total[:, 0]) + top[:, 0] - (f * hit).sum(axis=1)).mean() + reg / 2 * (free[:, None] * w * w).sum()
+        grad = z.T @ (odds / total - hit) / n + reg * free[:, None] * w
+        state.tell(np.array([loss]), grad.reshape(-1, 1))
+        if state.done.all():
+            break
+    w = state.point[:, 0].reshape(size + 1, classes)
+    return w[:-1] * scale[:, None], w[-1]
+
+
 def stacking(train_scores: DataFrame, test_scores: DataFrame, known: DataFrame,
-             max_iter: int = 100, reg: float = 0.01) -> DataFrame:
+             max_iter: int = STACK_ITERATIONS, reg: float = 0.01) -> DataFrame:
     """Second-level model on first-level scores: per problem a multinomial regression over its own
-    (model, candidate) features and its own candidates, so that problems don't touch each other."""
+    (model, candidate) features and its own candidates, so that problems don't touch each other.
+
+    Problems of bounded size are solved in a task each, all in one plan; a problem with more scores is
+    fitted by passes over its rows. Both minimise the same loss.
+    """
     slots = materialize(candidate_slots(known))
     places = train_scores.select("problem", "model").distinct().join(slots, "problem")
     numbered = materialize(places.withColumn(
@@ -397,29 +428,67 @@ def stacking(train_scores: DataFrame, test_scores: DataFrame, known: DataFrame,
         gathered = F.array_sort(F.collect_list(F.struct("g", "p")))
         return materialize(joined.groupBy(*DOC).agg(gathered.alias("c")))
 
-    labels = materialize(known.select(*PAIR).join(slots, ["problem", "author"]).select(
-        *DOC, F.col("slot").cast("double").alias("label")))
-    train, test = cells(train_scores), cells(test_scores)
-    sizes = {r["problem"]: r["size"] for r in numbered.groupBy("problem").agg(
-        F.count("*").alias("size")).collect()}
-
-    def one(problem: str) -> DataFrame:
-        own = F.col("problem") == problem
-        vector = sparse_vector(sizes[problem], F.col("c.g"), F.col("c.p")).alias("features")
-        model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial").fit(
-            train.where(own).select(*DOC, vector).join(labels, DOC)
-        )
-        return model.transform(test.where(own).select(*DOC, vector)).select(
-            *DOC, F.posexplode(vector_to_array("probability")).alias("slot", "q")
-        )
-
-    with ThreadPool(4) as pool:
-        spread = reduce(DataFrame.union, pool.map(one, sorted(sizes)))
+    labels = materialize(known.select(*PAIR).join(slots, ["problem", "author"]).select(*DOC, "slot"))
+    train, test = cells(train_scores).join(labels, DOC), cells(test_scores)
+    sizes = materialize(train.groupBy("problem").agg(
+        F.sum(F.size("c")).alias("cells"), (F.max("slot") + 1).alias("classes")).join(
+        numbered.groupBy("problem").agg(F.count("*").alias("size")), "problem"))
+    few = sizes.where(F.col("cells") <= STACK_CELLS)
+    spread = _stacked_in_tasks(train, test, few, max_iter, reg)
+    large = sizes.where(F.col("cells") > STACK_CELLS).orderBy("problem").collect()
+    for row in large:  # each holds over STACK_CELLS scores
+        own = F.col("problem") == row["problem"]
+        vector = sparse_vector(row["size"], F.col("c.g"), F.col("c.p")).alias("features")
+        model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial", tol=1e-9).fit(
+            train.where(own).select(vector, F.col("slot").cast("double").alias("label")))
+        spread = spread.unionByName(model.transform(test.where(own).select(*DOC, vector)).select(
+            *DOC, F.posexplode(vector_to_array("probability")).alias("slot", "q")))
     named = join_dimension(spread, slots, ["problem", "slot"], ["doc_name"], materialized=True)
     total = F.sum("q").over(Window.partitionBy(*DOC))
     return named.select(*PAIR, (F.col("q") / total).alias("p"))
 
 
+def _stacked_in_tasks(train: DataFrame, test: DataFrame, sizes: DataFrame, max_iter: int, reg: float) -> DataFrame:
+    """(problem, doc_name, slot, q): a task fits one problem's regression; its documents are scored in pieces."""
+    model_form = "problem string, weights binary, offsets binary, size int, classes int"
+    score_form = "problem string, doc_name string, slot int, q double"
+    forms = [train.sparkSession.createDataFrame([], f).toArrow().schema for f in (model_form, score_form)]
+
+    def matrix(rows: list[dict], size: int) -> np.ndarray:
+        x = np.zeros((len(rows), size))
+        for i, row in enumerate(rows):
+            x[i, [c["g"] for c in row["c"]]] = [c["p"] for c in row["c"]]
+        return x
+
+    def fit(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("doc_name").to_pylist()
+        size, classes = rows[0]["size"], rows[0]["classes"]
+        weights, offsets = _multinomial(
+            matrix(rows, size), np.array([r["slot"] for r in rows]), classes, reg, max_iter)
+        return pa.Table.from_pylist([{
+            "problem": rows[0]["problem"], "weights": weights.tobytes(), "offsets": offsets.tobytes(), "size": size, "classes": classes,
+        }], schema=forms[0])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for problem in dict.fromkeys(r["problem"] for r in rows):
+                own = [r for r in rows if r["problem"] == problem]
+                size, classes = own[0]["size"], own[0]["classes"]
+                f = matrix(own, size) @ np.frombuffer(own[0]["weights"]).reshape(size, classes) + np.frombuffer(own[0]["offsets"])
+                q = np.exp(f - f.max(axis=1, keepdims=True))
+                q /= q.sum(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([problem] * q.size, pa.string()), pa.array([r["doc_name"] for r in own for _ in range(classes)], pa.string()),
+                    pa.array(np.tile(np.arange(classes, dtype=np.int32), len(own))), pa.array(q.reshape(-1)),
+                ], schema=forms[1])
+
+    models = materialize(train.join(sizes, "problem").select(
+        "problem", "doc_name", "c", "slot", F.col("size").cast("int").alias("size"), F.col("classes").cast("int").alias("classes"),
+    ).groupBy("problem").applyInArrow(fit, model_form))
+    return test.join(models, "problem").mapInArrow(score, score_form)
+
+
 # -- classifiers on small dense vectors --------------------------------------------------
 
 
@@ -475,7 +544,7 @@ def boosted(rounds: int = 50, seed: int = 1) -> Estimator:
 
 
 def param_grid(features: DataFrame, known: DataFrame, costs: Sequence[float] = COSTS,
-               folds: int = GRID_FOLDS, losses: Sequence[str] = LOSSES) -> DataFrame:
+               folds: int = GRID_FOLDS, losses: Sequence[str] = (dual.SQUARED,)) -> DataFrame:
     """(problem, family, cost, loss, f1, best): macro F1 of one-vs-rest linear SVMs per cost and loss, each
     document judged by the split that has not seen it; ``best`` marks the largest, of equal ones the
     smallest cost, then the first loss. All settings of a block share its kernel matrix."""
@@ -496,22 +565,3 @@ def param_grid(features: DataFrame, known: DataFrame, costs: Sequence[float] = C
         [(name, c, loss) for name, (c, loss) in grid.items()], "setting string, cost double, loss string")
     return scored.withColumn("best", F.row_number().over(order) == 1).join(
         F.broadcast(names), "setting").select("problem", "family", "cost", "loss", "f1", "best")
-
-
-def svd_reduce(vectors: DataFrame, k: int, whiten: bool = False) -> DataFrame:
-    """(problem, doc_name, component, value, explained) of the k main components of one problem.
-
-    ``whiten`` divides each component by its standard deviation.
-    """
-    one_problem(vectors)
-    model = PCA(k=k, inputCol="features", outputCol="reduced").fit(vectors)
-    explained = F.array(*[F.lit(float(v)) for v in model.explainedVariance])
-    parts = model.transform(vectors).select(
-        *DOC, F.posexplode(vector_to_array("reduced")).alias("component", "value")
-    ).withColumn("explained", F.get(explained, F.col("component")))
-    if not whiten:
-        return parts
-    spread = parts.groupBy("component").agg(F.stddev_samp("value").alias("_sd"))
-    return parts.join(F.broadcast(spread), "component").select(  # k rows
-        *DOC, "component", F.try_divide(F.col("value"), F.col("_sd")).alias("value"), "explained"
-    )

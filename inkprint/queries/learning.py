@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkprint.operators import decide as D
 from inkprint.operators import evaluate as E
 from inkprint.operators import models as M
+from inkprint.operators import svd
 from inkprint.operators import vectorize as V
 from inkprint.plans import ensemble
 from inkprint.queries import corpus as C
@@ -217,12 +218,16 @@ SELECT problem, doc_name, true AS in_range, 1.0::DOUBLE AS sum_p
 FROM unknown SEMI JOIN scored USING (problem)""")
 
 
-def _one_problem(spark, sf):
-    """A separable target for classifiers on vectors: the language of a document."""
+def _target(spark, sf):
+    """A separable target for classifiers: the language of a document."""
     d = C.docs(spark, sf).withColumn("author", F.col("language")).withColumn(
         "problem", F.lit("language"))
-    known, unknown = d.where("split = 'known'"), C.unknown(d)
-    features = V.fit_tfidf(known, V.chars(1, 2), 0.12).transform(d)
+    known = d.where("split = 'known'")
+    return V.fit_tfidf(known, V.chars(1, 2), 0.12).transform(d), known, C.unknown(d)
+
+
+def _one_problem(spark, sf):
+    features, known, unknown = _target(spark, sf)
     vectors, size = M.term_vectors(features, known)
     return materialize(vectors), known, unknown, size
 
@@ -247,7 +252,7 @@ DENSE_SQL = C.sql("SELECT count(*) AS n_docs, true AS shares, true AS learned FR
 def param_grid(spark, sf):
     """Settings judged per problem, whether scores are in order, and how many are best."""
     d, known, _ = _parts(spark, sf)
-    return M.param_grid(_features(d), known).groupBy("problem", "family").agg(
+    return M.param_grid(_features(d), known, losses=M.LOSSES).groupBy("problem", "family").agg(
         F.count("*").alias("n_settings"), F.bool_and((F.col("f1") >= 0) & (F.col("f1") <= 1)).alias("in_range"),
         F.sum(F.col("best").cast("int")).alias("n_best"), (F.max("f1") == F.max(F.when(F.col("best"), F.col("f1")))).alias("largest"))
 
@@ -257,17 +262,26 @@ ORACLES["param_grid"] = C.sql(
 
 
 def svd_reduce(spark, sf):
-    """Per component: documents, and whether whitened values have mean 0 and standard deviation 1."""
-    vectors, _, _, _ = _one_problem(spark, sf)
-    reduced = M.svd_reduce(vectors, 5, whiten=True)
-    return reduced.groupBy("problem", "component").agg(
-        F.count("*").alias("n_docs"), (F.abs(F.stddev_samp("value") - 1) < 1e-6).alias("unit"),
-        (F.min("explained") == F.max("explained")).alias("one_share"))
+    """Centred and not: documents on each component, and whether the known ones, whitened, have standard deviation 1,
+    if centred mean 0, and components are uncorrelated there (centred)."""
+    features, known, _ = _target(spark, sf)
+    features, parts = materialize(features), []
+    for center in (True, False):
+        reduced = materialize(svd.svd_reduce(features, known, 5, center=center, whiten=True))
+        mine = reduced.join(known.select("problem", "doc_name", F.lit(1).alias("is_known")), ["problem", "doc_name"], "left")
+        inside = F.when(F.col("is_known") == 1, F.col("value"))
+        parts.append(mine.groupBy("problem", "component").agg(
+            F.count("*").alias("n_docs"), (F.abs(F.stddev_samp(inside) - 1) < 1e-6).alias("unit"),
+            (F.abs(F.avg(inside)) < (1e-6 if center else float("inf"))).alias("in_middle"),
+            F.bool_and((F.col("explained") >= 0) & (F.col("explained") <= 1)).alias("share"),
+        ).withColumn("centred", F.lit(center)))
+    return parts[0].unionByName(parts[1])
 
 
 ORACLES["svd_reduce"] = C.sql("""
-SELECT 'language' AS problem, c::INT AS component, (SELECT count(*) FROM corpus) AS n_docs, true AS unit, true AS one_share
-FROM range(5) AS r(c)""")
+SELECT 'language' AS problem, c::INT AS component, centred, n_docs, true AS unit, true AS in_middle, true AS share
+FROM range(5) AS r(c), (VALUES (true), (false)) AS m(centred), (
+  SELECT count(*) AS n_docs FROM corpus WHERE text IS NOT NULL AND length(text) > 0)""")
 
 
 for query in (svm_ovr, calibrate_sigmoid, multi_fit_predict, single_fit_predict, svm_baseline,
