@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -91,9 +92,12 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 def let_go(spark: SparkSession) -> None:
     """Let Spark remove the shuffles that no table needs any more: it does so when the driver's
-    memory is collected, which may be long after a large step is done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    memory is collected, which may be long after a large step is done. What one collection finds
+    unused may hold more, so there are a few, with time for the removal."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
