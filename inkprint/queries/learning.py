@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkprint.operators import decide as D
 from inkprint.operators import evaluate as E
 from inkprint.operators import models as M
 from inkprint.operators import svd
