@@ -219,6 +219,19 @@ def test_stacking_keeps_problems_apart(spark):
     assert all(abs(alone[k] - both[k]) < 1e-6 for k in alone)
 
 
+def test_stacking_in_tasks_and_by_passes_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    scores = [("p", f"d{k:02}", m, a, float(rng.random() + 0.3 * (a == "abc"[k % 3])))
+              for k in range(40) for m in ("m1", "m2") for a in "abc"]
+    frame = spark.createDataFrame(scores, "problem string, doc_name string, model string, author string, p double")
+    known = spark.createDataFrame([("p", f"d{k:02}", "abc"[k % 3]) for k in range(40)], "problem string, doc_name string, author string")
+    tasks = {(r.doc_name, r.author): r.p for r in M.stacking(frame, frame, known).collect()}
+    monkeypatch.setattr(M, "STACK_CELLS", 0)
+    passes = {(r.doc_name, r.author): r.p for r in M.stacking(frame, frame, known).collect()}
+    assert len(tasks) == 120 and tasks.keys() == passes.keys()
+    assert max(abs(tasks[k] - passes[k]) for k in tasks) < 1e-4
+
+
 def test_dense_classifiers_refuse_two_problems(spark):
     known = spark.createDataFrame([("p1", "d", "a"), ("p2", "d", "a")], "problem string, doc_name string, author string")
     with pytest.raises(ValueError):
