@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkprint.functions import grams as G
+from inkprint.functions import text as T
 from inkprint.operators import common
 from inkprint.operators import vectorize as V
 
@@ -119,3 +121,32 @@ def test_no_exchange_after_partitioning_by_document(spark, docs):
     # One for the short and one for the long documents: every text moves once.
     assert plan.count("Exchange hashpartitioning") == 2
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_text_partitions_grow_with_the_texts(spark, docs, monkeypatch):
+    """More text means more partitions, not larger ones."""
+    monkeypatch.setattr(common, "PARTITION_CHARS", 10)
+    some = docs(*[("p", str(i), "x", "abcdefghij" * 4) for i in range(10)], ("p", "n", "x", None))
+    assert common.by_doc(some).rdd.getNumPartitions() == 40
+    assert common.by_doc(some.where("false")).rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("slice_chars,part_chars,long_text", [(400_000, 2_000_000, 1_000_000), (7, 20, 1_000_000), (400_000, 30, 25)])
+def test_weights_in_tasks(spark, docs, monkeypatch, slice_chars, part_chars, long_text):
+    """Counting in tasks, in small slices and parts and beside long texts, gives the counts of rows."""
+    monkeypatch.setattr(G, "SLICE", slice_chars)
+    monkeypatch.setattr(V, "PARTITION_CHARS", part_chars)
+    monkeypatch.setattr(V, "LONG_TEXT", long_text)
+    rng = random.Random(3)
+    rows = [(p, str(i), "x", "".join(rng.choice("ab  é🙂\n中") for _ in range(rng.randint(0, 40))))
+            for i in range(30) for p in ("p", "q")]
+    some = docs(*rows, ("p", "n", "x", None), (None, "m", "x", "abab"))
+    for analyzer in (V.chars(2, 4), V.chars(3, 3, T.distort), V.char_analyzer([1, 14], collapse=False)):
+        fitted = V.fit_tfidf(some, analyzer, 0.05)
+        plain = V.document_frequency(V.term_counts(common.by_doc(some), analyzer))
+        table = V.idf_table(plain, V.problem_sizes(some), 0.05)
+        assert sorted(map(tuple, fitted.table.collect())) == sorted(map(tuple, table.select(*fitted.table.columns).collect()))
+        mine = {tuple(r)[:3]: r["value"] for r in fitted.transform(some).collect()}
+        rest = V.tfidf_weights(V.term_counts(common.by_doc(some), analyzer), fitted.table)
+        assert mine == pytest.approx({tuple(r)[:3]: r["value"] for r in rest.collect()}) and mine
+    assert "FlatMapCoGroupsInArrow" in fitted.transform(some)._jdf.queryExecution().toString()
