@@ -80,3 +80,15 @@ def test_stem_tokens(spark):
     stems = spark.createDataFrame([("en", "Runs", "run")], "language string, token string, stem string")
     out = {r["doc_name"]: r["text"] for r in stem_tokens(df, stems).collect()}
     assert out == {"1": "run , ran !", "2": ""}
+
+
+def test_count_totals(spark, docs):
+    """Sums of the character n-grams, as those of the rows of term_counts, long texts included."""
+    texts = ["", None, "ab", "abcabc", "x\u00e9\U0001f600 \u00e9x  \n y" * 50, "ab cd" * 210_000]
+    df = by_doc(docs(*[("p", str(i), "a", t) for i, t in enumerate(texts)]))
+    totals = V.count_totals(df, V.chars(3, 5))
+    assert "MapInArrow" in totals._jdf.queryExecution().optimizedPlan().toString()
+    counts = V.term_counts(df, V.chars(3, 5)).groupBy(*V.DOC).agg(
+        F.count("*"), F.sum("tf"), F.sum(F.col("tf") * F.col("tf")), F.min("term"), F.max("term"))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, counts.collect()))
+    assert totals.count() == 3
