@@ -82,6 +82,22 @@ def test_stem_tokens(spark):
     assert out == {"1": "run , ran !", "2": ""}
 
 
+def test_stem_tokens_makes_no_row_per_token(spark):
+    """Many documents of many tokens, odd values among them: nothing is gathered by document."""
+    texts = [None, "", " ", "Runs, ran!", *(f"Runs w{i}, " * 300 for i in range(200))]
+    rows = [("p", None if i % 7 == 6 else "en", str(i), text) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "problem string, language string, doc_name string, text string")
+    stems = spark.createDataFrame([("en", "Runs", "run"), ("en", "w5", None)],
+                                  "language string, token string, stem string")
+    out = stem_tokens(df, stems)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["doc_name"]: r["text"] for r in out.collect()}
+    assert found == {
+        name: "" if not (text or "").strip() else "run , ran !" if name == "3" else " ".join(
+            ["run" if language else "Runs", text.split()[1][:-1], ","] * 300)
+        for _, language, name, text in rows}
+
+
 def test_count_totals(spark, docs):
     """Sums of the character n-grams, as those of the rows of term_counts, long texts included."""
     texts = ["", None, "ab", "abcabc", "x\u00e9\U0001f600 \u00e9x  \n y" * 50, "ab cd" * 210_000]
