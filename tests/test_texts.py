@@ -82,6 +82,14 @@ def test_stem_tokens(spark):
     assert out == {"1": "run , ran !", "2": ""}
 
 
+def test_spaced_words_by_code_point(spark):
+    """Every character counts as white space for the words exactly if it does for SPACE."""
+    df = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343 AND id <> 65279").select(  # no surrogates, no byte order mark
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    wrong = df.where((F.size(T.spaced_words(F.col("c"))) == 0) != F.col("c").rlike(f"^{T.SPACE}$"))
+    assert [r["c"] for r in wrong.collect()] == []
+
+
 def test_stem_tokens_makes_no_row_per_token(spark):
     """Many documents of many tokens, odd values among them: nothing is gathered by document."""
     texts = [None, "", " ", "Runs, ran!", *(f"Runs w{i}, " * 300 for i in range(200))]
