@@ -136,3 +136,47 @@ def test_large_sigmoid_groups_take_the_same_steps(spark, monkeypatch):
     many = {r.author: (r.slope, r.offset) for r in M.platt_scale(margins).collect()}
     assert few.keys() == many.keys()
     assert all(np.allclose(few[a], many[a], atol=1e-6) for a in few)
+
+
+def test_few_passes_reach_the_dual_on_alike_documents(spark, monkeypatch):
+    """Terms that stand in every document curve the loss unevenly: the passes stay few, the minimum is the same."""
+    rng = np.random.default_rng(5)
+    terms, base = [f"t{i:02}" for i in range(30)], rng.random(30)
+    known = [("p", f"k{i:03}", f"a{i % 3}") for i in range(240)]
+    unknown = [("p", f"u{i:03}") for i in range(10)]
+    rows = []
+    for i, (_, doc, *_) in enumerate([*known, *unknown]):
+        value = base * (1 + 0.05 * rng.standard_normal(30)) + 0.02 * (np.arange(30) % 3 == i % 3)
+        rows += [("f", "p", doc, t, float(v)) for t, v in zip(terms, value / np.linalg.norm(value))]
+    features = spark.createDataFrame(rows, "family string, problem string, doc_name string, term string, value double")
+    docs = (spark.createDataFrame(known, "problem string, doc_name string, author string"),
+            spark.createDataFrame(unknown, "problem string, doc_name string"))
+    roles = M.calibration_roles(*docs)
+    key = lambda r: (r.doc_name, r.split, r.role, r.author)
+    read = lambda: {key(r): (r.margin, r.hit) for r in M.svm_margins(features, docs[0], roles, c=10.0).collect()}
+    want = read()
+    monkeypatch.setattr(M, "IN_PLACE_DOCS", 0)
+    monkeypatch.setattr(M.svm, "LOCAL_CELLS", 0)
+    passes, evaluate = [], M.svm._evaluate
+    monkeypatch.setattr(M.svm, "_evaluate", lambda *a: passes.append(1) or evaluate(*a))
+    counts = []
+    for task_vectors, sparse in ((32, 16), (2, 16), (32, 0)):  # all eigenvalues, the largest, cell by cell
+        monkeypatch.setattr(M.svm, "SKETCH_TASK", task_vectors)
+        monkeypatch.setattr(M.svm, "SPARSE", sparse)
+        passes.clear()
+        got = read()
+        counts.append(len(passes))
+        assert got.keys() == want.keys()
+        assert all(got[k] == (pytest.approx(want[k][0], abs=1e-5), want[k][1]) for k in want)
+    assert max(counts) <= 20
+
+
+def test_eigenvalues_from_all_and_from_few_products():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((50, 12)) * np.array([30.0, 9, 3] + [1e-3] * 9)
+    matrix = x.T @ x
+    for rank in (12, 6):
+        ways = np.eye(12) if rank == 12 else rng.standard_normal((rank, 12))
+        vectors, values = M.svm.eigen(ways @ matrix, ways)
+        assert np.allclose(np.sort(values)[::-1][:3], np.linalg.eigvalsh(matrix)[::-1][:3], rtol=1e-4)
+        assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-8)
