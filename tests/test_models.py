@@ -243,3 +243,13 @@ def test_cost_grid(spark):
     rows = M.param_grid(features, known, (0.5,), 2).collect()
     assert [(r.problem, r.family, r.cost, r.best) for r in rows] == [("p1", "f", 0.5, True)]
     assert 0 <= rows[0].f1 <= 1
+
+
+def test_boosted_classes_are_fitted_side_by_side(spark, languages):
+    features, known, unknown = languages
+    vectors = M.materialize(M.term_vectors(features, known)[0])
+    both = M.boosted(rounds=1)
+    assert both.getParallelism() >= 4
+    scores = [{(r.doc_name, r.author): r.p for r in M.fit_predict(e, vectors, known, unknown, "b").collect()}
+              for e in (both, both.copy({both.parallelism: 1}))]
+    assert scores[0] == scores[1]
