@@ -180,3 +180,18 @@ def test_eigenvalues_from_all_and_from_few_products():
         vectors, values = M.svm.eigen(ways @ matrix, ways)
         assert np.allclose(np.sort(values)[::-1][:3], np.linalg.eigvalsh(matrix)[::-1][:3], rtol=1e-4)
         assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-8)
+
+
+@pytest.mark.parametrize("local_cells", [0, 2_000_000])
+def test_passes_close_the_gap_of_every_cost_and_loss(spark, monkeypatch, local_cells):
+    """Hinge and squared hinge by passes: the margins of the dual."""
+    _, *both = problem(spark)
+    roles = M.plain_roles(*both[1:])
+    key = lambda r: (r.problem, r.setting, r.doc_name, r.author)
+    want = {key(r): r.margin for r in dual.margins(*both[:2], roles, SETTINGS, gap=1e-8).collect()}
+    monkeypatch.setattr(M, "IN_PLACE_DOCS", 0)
+    monkeypatch.setattr(M.svm, "LOCAL_CELLS", local_cells)
+    monkeypatch.setattr(dual, "solve", lambda groups, *a: groups.sparkSession.createDataFrame([], dual.SOLVED))
+    got = {key(r): r.margin for r in M.linear_margins(*both[:2], roles, SETTINGS, 500, 1e-8, 1e-4).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 0.05 for k in want)
