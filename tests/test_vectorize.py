@@ -150,3 +150,22 @@ def test_weights_in_tasks(spark, docs, monkeypatch, slice_chars, part_chars, lon
         rest = V.tfidf_weights(V.term_counts(common.by_doc(some), analyzer), fitted.table)
         assert mine == pytest.approx({tuple(r)[:3]: r["value"] for r in rest.collect()}) and mine
     assert "FlatMapCoGroupsInArrow" in fitted.transform(some)._jdf.queryExecution().toString()
+
+
+def test_packed_counts_are_the_weights(spark, docs, monkeypatch):
+    """One row per document, also without terms, empty, null or too long for a task; weights as in rows."""
+    monkeypatch.setattr(V, "LONG_TEXT", 60)
+    d = docs(("p", "a", "x", "abab abba baab"), ("p", "b", "y", "zzzz abab"), ("p", "c", "x", "abba " * 40),
+             ("p", "d", "y", ""), ("p", "e", "y", None), ("q", "a", "x", "caab caab abba"), ("p", "f", "x", "qqqqqqq"))
+    fitted = V.fit_top_k(d.where("doc_name IN ('a', 'c')"), 2, 5)
+    vocab = V.materialize(fitted.table.select("problem", "term", (F.col("rank") - 1).cast("smallint").alias("place"), "idf"))
+    rows = V.packed_counts(d, fitted.analyzer, vocab, [*V.DOC, "author"]).collect()
+    terms = {(r["problem"], r["place"]): (r["term"], r["idf"]) for r in vocab.collect()}
+    found = {}
+    for r in rows:
+        for at, tf in zip(r["at"], r["tf"]):
+            term, idf = terms[r["problem"], at]
+            found[r["problem"], r["doc_name"], term] = tf * idf / r["norm"]
+    assert found == pytest.approx({tuple(r)[:3]: r["value"] for r in fitted.transform(d).collect()})
+    assert len(rows) == 7 and {r["doc_name"] for r in rows if not r["at"]} == {"d", "e", "f"}
+    assert all(list(r["at"]) == sorted(r["at"]) for r in rows)
