@@ -169,3 +169,20 @@ def test_packed_counts_are_the_weights(spark, docs, monkeypatch):
     assert found == pytest.approx({tuple(r)[:3]: r["value"] for r in fitted.transform(d).collect()})
     assert len(rows) == 7 and {r["doc_name"] for r in rows if not r["at"]} == {"d", "e", "f"}
     assert all(list(r["at"]) == sorted(r["at"]) for r in rows)
+
+
+def test_rare_words_are_not_shuffled(spark, docs, monkeypatch):
+    """Frequent terms keep their numbers over parts of any size; most of the rare ones never leave their part."""
+    pick = random.Random(3)
+    rows = [(p, f"d{k}", "x", " ".join(pick.choice(["der", "die", "das", "und"]) for _ in range(6)) + f" w{p}{k} v{p}{k % 30}")
+            for p in "pq" for k in range(120)]
+    d = docs(*rows, ("p", "none", "x", None), ("p", "void", "x", ""), ("q", "long", "x", "der die und " * 40), (None, "d", "x", "der die"))
+    analyzer = V.words(1, 2)
+    monkeypatch.setattr(V, "PARTITION_CHARS", 800)
+    monkeypatch.setattr(V, "LONG_TEXT", 300)
+    plain = V.document_frequency(V.term_counts(common.by_doc(d), analyzer))
+    sizes = V.problem_sizes(d)
+    want = sorted(map(tuple, V.idf_table(plain, sizes, 0.25).collect()))
+    found = V.text_frequency(d, analyzer, 0.25)
+    assert sorted(map(tuple, V.idf_table(found, sizes, 0.25).collect())) == want and len(want) > 10
+    assert found.count() < plain.count() / 10
