@@ -3,8 +3,10 @@ from hashlib import md5
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from inkprint.operators import boost as B
 from inkprint.operators import decide as D
 from inkprint.operators import imposters as I
 from inkprint.operators import models as M
@@ -253,3 +255,33 @@ def test_boosted_classes_are_fitted_side_by_side(spark, languages):
     scores = [{(r.doc_name, r.author): r.p for r in M.fit_predict(e, vectors, known, unknown, "b").collect()}
               for e in (both, both.copy({both.parallelism: 1}))]
     assert scores[0] == scores[1]
+
+
+def test_boosted_in_tasks_gives_the_trees_of_the_library(spark, monkeypatch):
+    """Few values per feature, so that both look at the same thresholds; documents may come twice."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 6, size=(1500, 70)) / 5
+    label = (x[:, 0] + x[:, 66] > 1).astype(int) + (rng.random(1500) < 0.4)
+    vectors = spark.createDataFrame(
+        [("p", f"d{k:04}", Vectors.dense(row)) for k, row in enumerate(x.tolist())], ["problem", "doc_name", "features"])
+    known = spark.createDataFrame(
+        [("p", f"d{k:04}", "abc"[n]) for k, n in enumerate(label)] + [("p", "d0007", "a")], "problem string, doc_name string, author string")
+    unknown = known.where("doc_name >= 'd1400'")
+
+    def scores():
+        rows = M.fit_predict(M.boosted(rounds=4), vectors, known, unknown, "b").collect()
+        return {(r.doc_name, r.author): r.p for r in rows}
+
+    tasks = scores()
+    assert isinstance(M.boosted(1).fit(vectors.withColumn("label", F.lit(0.0))), B.BoostedModel)
+    monkeypatch.setattr(B, "IN_PLACE_CELLS", 0)
+    library = scores()
+    assert len(tasks) == 300 and tasks.keys() == library.keys()
+    assert max(abs(tasks[k] - library[k]) for k in tasks) < 1e-9
+
+
+def test_thresholds_cut_equal_shares():
+    values = np.random.default_rng(2).random(3200)
+    cuts = B.cuts_of(values)
+    assert len(cuts) == 31 and set(np.bincount(np.searchsorted(cuts, values))) == {100}
+    assert B.cuts_of(np.array([1.0, 3.0, 3.0, 4.0])).tolist() == [2.0, 3.5] and not len(B.cuts_of(np.ones(5)))
