@@ -1,4 +1,5 @@
 import random
+import threading
 from hashlib import md5
 
 import numpy as np
@@ -285,3 +286,31 @@ def test_thresholds_cut_equal_shares():
     cuts = B.cuts_of(values)
     assert len(cuts) == 31 and set(np.bincount(np.searchsorted(cuts, values))) == {100}
     assert B.cuts_of(np.array([1.0, 3.0, 3.0, 4.0])).tolist() == [2.0, 3.5] and not len(B.cuts_of(np.ones(5)))
+
+
+def together(monkeypatch, *places):
+    """Each of two functions begins when the other has been called."""
+    barrier = threading.Barrier(2, timeout=60)
+    for module, name in places:
+        def run(*a, old=getattr(module, name), **b):
+            barrier.wait()
+            return old(*a, **b)
+
+        monkeypatch.setattr(module, name, run)
+
+
+def test_kinds_of_blocks_are_solved_side_by_side(spark, monkeypatch):
+    """Problems with many and few documents don't wait for each other, nor do blocks with many and few cells."""
+    _, *two = small_problems(spark, ["p1", "p2"])
+    features, known, unknown = (df.where("problem = 'p1' OR doc_name < 'd5'") for df in two)
+    alone = by_key(M.svm_ovr(features, known, unknown))
+    monkeypatch.setattr(M, "IN_PLACE_DOCS", 9)
+    with monkeypatch.context() as patch:
+        together(patch, (M, "_margins_by_passes"), (M.dual, "margins"))
+        apart = by_key(M.svm_ovr(features, known, unknown))
+    assert alone.keys() == apart.keys() and all(abs(alone[k] - apart[k]) < 1e-5 for k in alone)
+    monkeypatch.setattr(M, "IN_PLACE_DOCS", 0)
+    monkeypatch.setattr(M.svm, "LOCAL_CELLS", 60)
+    together(monkeypatch, (M.svm, "_solve_in_place"), (M.svm, "_curve"))
+    passes = by_key(M.svm_ovr(features, known, unknown))
+    assert alone.keys() == passes.keys() and all(abs(alone[k] - passes[k]) < 1e-5 for k in alone)
