@@ -314,3 +314,15 @@ def test_kinds_of_blocks_are_solved_side_by_side(spark, monkeypatch):
     together(monkeypatch, (M.svm, "_solve_in_place"), (M.svm, "_curve"))
     passes = by_key(M.svm_ovr(features, known, unknown))
     assert alone.keys() == passes.keys() and all(abs(alone[k] - passes[k]) < 1e-5 for k in alone)
+
+
+def test_blocks_are_sent_or_read(spark, monkeypatch):
+    """Larger blocks are read by their tasks, and strips are kept or made anew, with the same margins."""
+    _, *two = small_problems(spark, ["p1", "p2"])
+    monkeypatch.setattr(M, "IN_PLACE_DOCS", 0)
+    monkeypatch.setattr(M.svm, "LOCAL_TASKS", 2)
+    sent = by_key(M.svm_ovr(*two))
+    monkeypatch.setattr(M.svm, "SENT_CELLS", 0)
+    monkeypatch.setattr(M.svm, "HELD", 0)
+    read = by_key(M.svm_ovr(*two))
+    assert sent.keys() == read.keys() and all(abs(sent[k] - read[k]) < 1e-9 for k in sent)
