@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.session import materialize
+from inkprint.session import let_go, materialize
 
 #: Rows times features, and features, that are fitted in tasks.
 IN_PLACE_CELLS, IN_PLACE_FEATURES = 200_000_000, 10_000
@@ -151,7 +151,9 @@ class Boosted(OneVsRest):
         if not found["n"] or not size or size > IN_PLACE_FEATURES or found["n"] * size > IN_PLACE_CELLS:
             return super()._fit(dataset)
         rounds = self.getClassifier().getMaxIter()
+        let_go(dataset.sparkSession)  # of what made the vectors
         binned = _binned(dataset, size)
+        let_go(dataset.sparkSession)  # of the values: their bins are written out
         form = _form(dataset, TREES)
 
         def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
